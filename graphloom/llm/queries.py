@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import anchors
+from . import anchors, langid
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,15 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "group_id", "keep")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, calibrated confidence and decision for every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.language_id(docs)
+    return found.select("doc_id", "lang", F.col("_predicted").alias("predicted"), F.col("_confidence").alias("confidence"), F.col("_accepted").alias("accepted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
