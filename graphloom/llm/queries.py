@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, langid, mixing, packing
+from . import anchors, langid, linededup, mixing, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", F.col("_predicted").alias("predicted"), F.col("_confidence").alias("confidence"), F.col("_accepted").alias("accepted"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group and decision for every line of four words or more."""
+    return linededup.line_decisions(_table(spark, sf_dir, "documents")).select("doc_id", "line_no", "group_id", "keep")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of every document, with all sources at equal weight."""
     found = mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -39,6 +44,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_line_dedup": op2_line_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
