@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, langid, linededup, mixing, packing
+from . import anchors, ctw, langid, linededup, mixing, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_decisions(_table(spark, sf_dir, "documents")).select("doc_id", "line_no", "group_id", "keep")
 
 
+def op3_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code length of every document under the context tree of all documents."""
+    found = ctw.score(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", F.round("code_bits", 3).alias("code_bits"), F.round("bits_per_byte", 6).alias("bits_per_byte"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of every document, with all sources at equal weight."""
     found = mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -45,6 +51,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
+    "op3_context_tree_weighting": op3_context_tree_weighting,
     "op6_source_mixing": op6_source_mixing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
