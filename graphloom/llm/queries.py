@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, ctw, langid, licenses, linededup, mixing, packing
+from . import anchors, ctw, digests, langid, licenses, linededup, mixing, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", F.round("_rate", 9).alias("rate"), F.col("_copy").alias("copy"))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every document, and the digests near it."""
+    return digests.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
     return packing.packed(_table(spark, sf_dir, "documents"))
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": op5_license_scan,
     "op6_source_mixing": op6_source_mixing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_document_fingerprints": op9_document_fingerprints,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
