@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, ctw, digests, langid, licenses, linededup, mixing, packing
+from . import anchors, ctw, digests, langid, licenses, linededup, mixing, packing, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op3_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", F.round("code_bits", 3).alias("code_bits"), F.round("bits_per_byte", 6).alias("bits_per_byte"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What varies in every page, by the wrapper of its host."""
+    return wrappers.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every license span of every document."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
     "op3_context_tree_weighting": op3_context_tree_weighting,
+    "op4_html_extraction": op4_html_extraction,
     "op5_license_scan": op5_license_scan,
     "op6_source_mixing": op6_source_mixing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
