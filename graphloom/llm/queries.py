@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, ctw, digests, langid, licenses, linededup, mixing, packing, wrappers
+from . import anchors, ctw, digests, forest, langid, licenses, linededup, mixing, packing, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,12 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", F.round("_rate", 9).alias("rate"), F.col("_copy").alias("copy"))
 
 
+def op7_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest neighbours of every embedding."""
+    found = forest.neighbours(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "neighbour_id", "rank", F.round("similarity", 4).alias("similarity"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every document, and the digests near it."""
     return digests.fingerprints(_table(spark, sf_dir, "documents"))
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_extraction": op4_html_extraction,
     "op5_license_scan": op5_license_scan,
     "op6_source_mixing": op6_source_mixing,
+    "op7_hash_prefix_forest": op7_hash_prefix_forest,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_best_fit_packing": op10_best_fit_packing,
