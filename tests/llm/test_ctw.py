@@ -76,7 +76,7 @@ def test_table_and_join_agree(spark, rows):
 
 def test_cost_table():
     rng = np.random.default_rng(0)
-    gram = np.unique(rng.integers(0, 1 << 32, 5000, dtype=np.uint32))
+    gram = np.unique(rng.integers(0, 1 << 40, 5000, dtype=np.uint64))
     gram[0] = 0
     table = ctw.CostTable(gram, gram.astype(float))
     ask = rng.choice(gram, 20_000)
