@@ -10,48 +10,50 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NODE_KINDS = ("dep", "lem", "ent", "chu", "iri")
-EDGE_KINDS = ("dep", "chu", "inf", "syn", "iri")
+NODE_KINDS = tuple("dep lem ent chu iri".split())
+EDGE_KINDS = tuple("dep chu inf syn iri".split())
 IRI_BASE = "https://graphloom.example/ns/"
+_DBPEDIA, _WIKIDATA, W3 = "http://dbpedia.org/", "http://www.wikidata.org/", "http://www.w3.org/"
+_RESOURCE, _ONTOLOGY = _DBPEDIA + "resource/", _DBPEDIA + "ontology/"
 #: (prefix, namespace), in the order in which they are tried.
 PREFIXES: list[tuple[str, str]] = [
-    ("dbc", "http://dbpedia.org/resource/Category:"),
-    ("dbt", "http://dbpedia.org/resource/Template:"),
-    ("dbr", "http://dbpedia.org/resource/"),
-    ("yago", "http://dbpedia.org/class/yago/"),
-    ("dbd", "http://dbpedia.org/datatype/"),
-    ("dbo", "http://dbpedia.org/ontology/"),
-    ("dbp", "http://dbpedia.org/property/"),
-    ("units", "http://dbpedia.org/units/"),
+    ("dbc", _RESOURCE + "Category:"),
+    ("dbt", _RESOURCE + "Template:"),
+    ("dbr", _RESOURCE),
+    ("yago", _DBPEDIA + "class/yago/"),
+    ("dbd", _DBPEDIA + "datatype/"),
+    ("dbo", _ONTOLOGY),
+    ("dbp", _DBPEDIA + "property/"),
+    ("units", _DBPEDIA + "units/"),
     ("dbpedia-commons", "http://commons.dbpedia.org/resource/"),
     ("dbpedia-wikicompany", "http://dbpedia.openlinksw.com/wikicompany/"),
     ("dbpedia-wikidata", "http://wikidata.dbpedia.org/resource/"),
-    ("wd", "http://www.wikidata.org/"),
-    ("wd_ent", "http://www.wikidata.org/entity/"),
-    ("rdf", "http://www.w3.org/1999/02/22-rdf-syntax-ns#"),
+    ("wd", _WIKIDATA),
+    ("wd_ent", _WIKIDATA + "entity/"),
+    ("rdf", W3 + "1999/02/22-rdf-syntax-ns#"),
     ("schema", "https://schema.org/"),
-    ("owl", "http://www.w3.org/2002/07/owl#"),
+    ("owl", W3 + "2002/07/owl#"),
 ]
 #: (label, class IRI, definition, short label) of entity kinds.
 NER_CLASSES: list[tuple[str, str, str, str]] = [
-    ("CARDINAL", "http://dbpedia.org/resource/Cardinal_number", "a number of no other kind", "cardinal number"),
-    ("DATE", "http://dbpedia.org/ontology/date", "a date or period", "date"),
-    ("EVENT", "http://dbpedia.org/ontology/Event", "a named event", "event"),
-    ("FAC", "http://dbpedia.org/ontology/Infrastructure", "a building, road or bridge", "infrastructure"),
-    ("GPE", "http://dbpedia.org/ontology/Country", "a country, state or city", "country"),
-    ("LANGUAGE", "http://dbpedia.org/ontology/Language", "a language", "language"),
-    ("LAW", "http://dbpedia.org/ontology/Law", "a named law", "law"),
-    ("LOC", "http://dbpedia.org/ontology/Place", "a place that is no state", "place"),
-    ("MONEY", "http://dbpedia.org/resource/Money", "an amount of money", "money"),
-    ("NORP", "http://dbpedia.org/ontology/nationality", "a nation, faith or party", "nationality"),
-    ("ORDINAL", "http://dbpedia.org/resource/Ordinal_number", "an ordinal", "ordinal number"),
-    ("ORG", "http://dbpedia.org/ontology/Organisation", "an organisation", "organization"),
-    ("PERCENT", "http://dbpedia.org/resource/Percentage", "a percentage", "percentage"),
-    ("PERSON", "http://dbpedia.org/ontology/Person", "a person", "person"),
-    ("PRODUCT", "http://dbpedia.org/ontology/product", "a product", "product"),
-    ("QUANTITY", "http://dbpedia.org/resource/Quantity", "a measured quantity", "quantity"),
-    ("TIME", "http://dbpedia.org/ontology/time", "a time of less than a day", "time"),
-    ("WORK_OF_ART", "http://dbpedia.org/resource/Work_of_art", "a title of a work", "work of art"),
+    ("CARDINAL", _RESOURCE + "Cardinal_number", "a number of no other kind", "cardinal number"),
+    ("DATE", _ONTOLOGY + "date", "a date or period", "date"),
+    ("EVENT", _ONTOLOGY + "Event", "a named event", "event"),
+    ("FAC", _ONTOLOGY + "Infrastructure", "a building, road or bridge", "infrastructure"),
+    ("GPE", _ONTOLOGY + "Country", "a country, state or city", "country"),
+    ("LANGUAGE", _ONTOLOGY + "Language", "a language", "language"),
+    ("LAW", _ONTOLOGY + "Law", "a named law", "law"),
+    ("LOC", _ONTOLOGY + "Place", "a place that is no state", "place"),
+    ("MONEY", _RESOURCE + "Money", "an amount of money", "money"),
+    ("NORP", _ONTOLOGY + "nationality", "a nation, faith or party", "nationality"),
+    ("ORDINAL", _RESOURCE + "Ordinal_number", "an ordinal", "ordinal number"),
+    ("ORG", _ONTOLOGY + "Organisation", "an organisation", "organization"),
+    ("PERCENT", _RESOURCE + "Percentage", "a percentage", "percentage"),
+    ("PERSON", _ONTOLOGY + "Person", "a person", "person"),
+    ("PRODUCT", _ONTOLOGY + "product", "a product", "product"),
+    ("QUANTITY", _RESOURCE + "Quantity", "a measured quantity", "quantity"),
+    ("TIME", _ONTOLOGY + "time", "a time of less than a day", "time"),
+    ("WORK_OF_ART", _RESOURCE + "Work_of_art", "a title of a work", "work of art"),
 ]
 
 

@@ -14,7 +14,7 @@ MAX_NODES = 11
 #: Edges of a graph up to which communities are computed; each split costs nodes times edges.
 MAX_EDGES = 20_000
 #: (kind, shape, color)
-STYLES = [("dep", "star", "hsla(306, 45%, 57%, 0.95)"), ("lem", "square", "hsla(65, 46%, 58%, 0.95)"), ("ent", "circle", "hsla(15, 46%, 58%, 0.95)"), ("chu", "triangle", "hsla(184, 46%, 58%, 0.95)"), ("iri", "diamond", "hsla(55, 17%, 49%, 0.95)")]
+STYLES = [("dep", "star", "gray"), ("lem", "square", "olive"), ("ent", "circle", "orange"), ("chu", "triangle", "teal"), ("iri", "diamond", "tan")]
 
 
 def distances(edges: dict[str, set[str]], start: str, most: int) -> dict[str, int]:

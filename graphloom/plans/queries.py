@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import gor, paths, rank, textgraph
+from ..sources import nodelink
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -278,3 +279,29 @@ def alias_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wordcloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = textgraph.token_nodes(_tokens(spark, sf_dir)).where("kind in ('ent', 'lem') and pos <> 'VERB'")
     return paths.term_frequencies(nodes)
+
+
+_STYLES = ", ".join(f"('{k}', '{shape}', '{color}')" for k, shape, color in paths.STYLES)
+
+
+@query(f"WITH {TOKENS}, st AS (SELECT * FROM (VALUES {_STYLES}) v(kind, shape, color)) SELECT graph_id, key, shape, color, count AS size, count::DOUBLE AS value FROM nodes JOIN st ON st.kind = nodes.kind")
+def node_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.styled(textgraph.token_nodes(_tokens(spark, sf_dir)).withColumn("weight", F.col("count").cast("double")))
+
+
+@query(f"WITH {TOKENS} SELECT graph_id, src, dst, rel, kind, prob, count FROM deps")
+def nodelink_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    toks = _tokens(spark, sf_dir)
+    return nodelink.load(nodelink.dump(textgraph.token_nodes(toks), textgraph.dep_edges(toks)))[1]
+
+
+@query(f"WITH {TOKENS} SELECT graph_id, para_id, sent_id, tok_i, key FROM toks")
+def lemma_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(spark, sf_dir).select("graph_id", "para_id", "sent_id", "tok_i", "key")
+
+
+@query()
+def gor_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = gor.affinity(triples(spark, sf_dir)).select(F.lit(0).cast("long").alias("graph_id"), F.col("rel_a").alias("src"), F.col("rel_b").alias("dst"))
+    rels = scores.select("graph_id", F.col("src").alias("key")).unionByName(scores.select("graph_id", F.col("dst").alias("key"))).distinct()
+    return paths.communities(rels, scores.where("src <> dst"))

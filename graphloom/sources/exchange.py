@@ -8,6 +8,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import W3
+
+RDF = W3 + "1999/02/22-rdf-syntax-ns#"
 _TURTLE = re.compile(r'"""(.*?)"""(?:@[\w-]+|\^\^\S+)?|"((?:[^"\\]|\\.)*)"(?:@[\w-]+|\^\^[^\s;,.]+)?|<([^>]*)>|(@prefix|@base|[^\s;,."<>]*:[^\s;,"<>]*[^\s;,."<>]|[^\s;,."<>]*:|\ba\b)|([;,.])|#[^\n]*', re.S)
 
 
@@ -29,7 +32,7 @@ def relation_json(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]
 
 def turtle_triples(text: str) -> list[tuple[str, str, str]]:
     """(subject, predicate, object) of Turtle without blank nodes and collections; prefixes and base are resolved."""
-    prefixes: dict[str, str] = {"rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#"}
+    prefixes: dict[str, str] = {"rdf": RDF}
     base, out, part, directive = "", [], [], None
 
     def iri(name: str) -> str:
@@ -73,7 +76,7 @@ def bootstrap(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
     Subjects and whatever they refer to are nodes; a node without skos:prefLabel is named by the end of its IRI. Nodes are in order of
     their IRIs. skos:broader edges are of kind syn, all others iri.
     """
-    skos, rdf = "http://www.w3.org/2004/02/skos/core#", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+    skos, rdf = W3 + "2004/02/skos/core#", RDF + "type"
     frame = spark.createDataFrame(turtle_triples(text), "subj string, pred string, obj string").distinct()
     named = lambda p: F.max(F.when(F.col("pred") == p, F.col("obj")))
     facts = frame.groupBy("subj").agg(named(skos + "prefLabel").alias("label"), named(skos + "definition").alias("text"), named(rdf).alias("type"))

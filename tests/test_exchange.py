@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from graphloom.functions.scalars import W3
 from graphloom.operators import linking, textgraph
 from graphloom.sources import exchange, nodelink
 from graphloom.streaming import accumulate
@@ -46,26 +47,26 @@ def test_relation_json(spark):
 
 
 TURTLE = """@base <http://b.example/> .
-@prefix skos: <http://www.w3.org/2004/02/skos/core#> .
-@prefix dbo: <http://dbpedia.org/ontology/> .
+@prefix skos: <SKOS> .
+@prefix dbo: <ONTOLOGY> .
 <entity/herzog> a dbo:Person ; # a comment
   skos:prefLabel "Werner \\"H\\" Herzog"@en, "Herzog"@de ; skos:broader <entity/werner> .
 <entity/werner> skos:prefLabel "Werner"@en .
 dbo:Person skos:prefLabel "person"@en ; skos:definition "People. All."@en .
-"""
+""".replace("SKOS", W3 + "2004/02/skos/core#").replace("ONTOLOGY", "http://o.example/")
 
 
 def test_turtle(spark):
     found = set(exchange.turtle_triples(TURTLE))
-    skos = "http://www.w3.org/2004/02/skos/core#"
+    skos = W3 + "2004/02/skos/core#"
     assert found == {
-        ("http://b.example/entity/herzog", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "http://dbpedia.org/ontology/Person"),
+        ("http://b.example/entity/herzog", exchange.RDF + "type", "http://o.example/Person"),
         ("http://b.example/entity/herzog", skos + "prefLabel", 'Werner "H" Herzog'),
         ("http://b.example/entity/herzog", skos + "prefLabel", "Herzog"),
         ("http://b.example/entity/herzog", skos + "broader", "http://b.example/entity/werner"),
         ("http://b.example/entity/werner", skos + "prefLabel", "Werner"),
-        ("http://dbpedia.org/ontology/Person", skos + "prefLabel", "person"),
-        ("http://dbpedia.org/ontology/Person", skos + "definition", "People. All."),
+        ("http://o.example/Person", skos + "prefLabel", "person"),
+        ("http://o.example/Person", skos + "definition", "People. All."),
     }
     nodes, edges = exchange.bootstrap(spark, TURTLE)
     assert {(r.key.rsplit("/", 1)[1], r.kind) for r in nodes.collect()} == {("herzog", "ent"), ("werner", "ent"), ("Person", "iri")}
