@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from graphloom.plans import queries as plans
 
-HEADLINE = ("gor_affinity", "gor_pair_counts", "triples_distinct", "text_tokens", "node_upsert", "edge_upsert", "stripe", "pagerank", "export_edges")
+HEADLINE = ("gor_affinity", "gor_pair_counts", "triples_distinct", "stripe", "text_tokens", "node_upsert")
 
 
 def main() -> None:
