@@ -27,8 +27,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Group and decision for every line of four words or more."""
-    return linededup.line_decisions(_table(spark, sf_dir, "documents")).select("doc_id", "line_no", "group_id", "keep")
+    """Group and decision for every line that has a word."""
+    return linededup.line_decisions(_table(spark, sf_dir, "documents"), min_words=1).select("doc_id", "line_no", "group_id", "keep")
 
 
 def op3_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
