@@ -6,11 +6,12 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table of a few short columns is broadcast; beyond it, the join shuffles.
+#: Rows, and bytes of Parquet, up to which a written table is broadcast; beyond either, the join shuffles.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 16 << 20
 _own: dict[str, str] = {}
 
 
@@ -25,6 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def whole_id(name: str = "doc_id") -> Column:
+    """An id as a long; null where it is none, as for text that isn't a number."""
+    return F.col(name).try_cast("long").alias(name)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, has a known size."""
     spark = df.sparkSession
@@ -38,17 +52,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def remove(df: DataFrame) -> None:
-    """Delete a written table that nothing reads any more."""
+def _folders(df: DataFrame) -> list:
+    """(path, file system) of the folders that a written table is in."""
     spark = df.sparkSession
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(folder) for folder in sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()})]
+    return [(path, path.getFileSystem(spark._jsc.hadoopConfiguration())) for path in paths]
+
+
+def remove(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        for path, system in _folders(df):
+            system.delete(path, True)
 
 
-def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table with a broadcast hint where its count allows; else as it is, for a shuffled join."""
+def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table with a broadcast hint where its rows and the bytes of its files allow; else as it is, for a shuffled join."""
+    if sum(system.getContentSummary(path).getLength() for path, system in _folders(df)) > most:
+        return df
     return F.broadcast(df) if df.count() <= limit else df
 
 
