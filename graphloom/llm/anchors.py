@@ -3,11 +3,10 @@
 Fingerprint: SimHash of a document's distinct words, 5 sections of 23 bits.
 Anchors: the 4096 codewords of the binary Golay code, which covers 23 bits with
 radius 3 and no overlap, so every section has one home anchor. A fingerprint is
-also copied to every anchor within radius + 2 of a section; two sections that
-differ in at most 2 bits therefore meet at the home anchor of either. Of 5
-sections with at most 14 differing bits in all, one differs in at most 2: such
-pairs are always found. Pairs of 15 to MAX_DISTANCE bits are found with a
-probability that tests measure (over 0.9).
+also copied to every anchor within radius + 3 of a section; two sections that
+differ in at most 3 bits therefore meet at the home anchor of either. Of 5
+sections with at most 19 differing bits in all, one differs in at most 3: all
+pairs within MAX_DISTANCE are found. Sections are searched one after the other.
 """
 
 from __future__ import annotations
@@ -19,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected, small_or_shuffled, written
+from .shared import connected, small_or_shuffled, unused, whole_id, written
 from .textcore import distinct_in_rows, row_slices, segments, simhash, words
 
-SECTIONS, SECTION_BITS, RADIUS, EXTRA = 5, 23, 3, 2
-MAX_DISTANCE = 17
+SECTIONS, SECTION_BITS, RADIUS, EXTRA = 5, 23, 3, 3
+MAX_DISTANCE = SECTIONS * (EXTRA + 1) - 1
 _GENERATOR = 0b101011100011
 
 
@@ -84,7 +83,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 halves = [pa.array(np.ascontiguousarray(print_[:, k]).view(np.int64)).take(pick) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), *halves], names=["row", "doc_id", "f1", "f2"])
 
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), whole_id(), "text")
     return keyed.mapInArrow(run, "row long, doc_id long, f1 long, f2 long")
 
 
@@ -93,32 +92,36 @@ def _sections(f1: np.ndarray, f2: np.ndarray) -> list[np.ndarray]:
     return [f1 & low, (f1 >> 23) & low, f2 & low, (f2 >> 23) & low, ((f1 >> 46) & 0x3FFFF) | (((f2 >> 46) & 31) << 18)]
 
 
-def placed(prints: DataFrame, everywhere: bool) -> DataFrame:
-    """(at, node, f1, f2): fingerprints at their home anchors, or at every anchor in reach; at = section and anchor."""
+def placed(prints: DataFrame, section: int, everywhere: bool) -> DataFrame:
+    """(at, node, f1, f2): fingerprints at the home anchors of a section, or at every anchor in reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         covering = _covering()
         for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
+            for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 4096)
                 f1, f2 = (part.column(c).to_numpy() for c in ("f1", "f2"))
-                rows, at = [], []
-                for s, value in enumerate(_sections(f1, f2)):
-                    home, reach, offsets = section_anchors(value, *covering)
-                    rows.append(np.repeat(np.arange(len(f1)), np.diff(offsets)) if everywhere else np.arange(len(f1)))
-                    at.append((reach if everywhere else home) | (s << SECTION_BITS))
-                pick = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at).astype(np.int32)), *(part.column(c).take(pick) for c in ("node", "f1", "f2"))], names=["at", "node", "f1", "f2"])
+                home, reach, offsets = section_anchors(_sections(f1, f2)[section], *covering)
+                pick = pa.array(np.repeat(np.arange(len(f1)), np.diff(offsets)) if everywhere else np.arange(len(f1)))
+                at = reach if everywhere else home
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(part.column(c).take(pick) for c in ("node", "f1", "f2"))], names=["at", "node", "f1", "f2"])
 
     return prints.select("node", "f1", "f2").mapInArrow(run, "at int, node long, f1 long, f2 long")
 
 
 def near_pairs(prints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Distinct (a, b), a < b: nodes whose fingerprints meet at an anchor and differ in at most max_distance bits."""
-    x, y = placed(prints, everywhere=False).alias("x"), placed(prints, everywhere=True).alias("y")
+    """Distinct (a, b), a < b: nodes whose fingerprints meet at an anchor and differ in at most max_distance bits.
+
+    The pairs of each section are written, so that the copies of one section only are about at a time.
+    """
     apart = F.bit_count(F.col("x.f1").bitwiseXOR(F.col("y.f1"))) + F.bit_count(F.col("x.f2").bitwiseXOR(F.col("y.f2")))
-    met = x.join(y, (F.col("x.at") == F.col("y.at")) & (apart <= max_distance) & (F.col("x.node") != F.col("y.node")))
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    found = None
+    for section in range(SECTIONS):
+        x, y = (placed(prints, section, everywhere).alias(name) for name, everywhere in (("x", False), ("y", True)))
+        met = x.join(y, (F.col("x.at") == F.col("y.at")) & (apart <= max_distance) & (F.col("x.node") != F.col("y.node")))
+        pairs = written(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "met")
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -126,7 +129,7 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFr
 
     Groups are the connected components of near pairs; group_id is the least
     doc_id of the group, and keep marks its row (the least row of that doc_id).
-    Rows of equal doc_id count as one document. A null doc_id, and a null text or one
+    Rows of equal doc_id count as one document. A null doc_id (as is one that is no whole number), and a null text or one
     without words, is in no group: group_id is doc_id and keep is true. Repeated
     rows get the same result each; ``deduplicated`` leaves one of them. An empty table gives no rows.
     """
@@ -143,12 +146,14 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFr
 
 
 def deduplicated(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, one of each set of rows equal in doc_id and text; same columns."""
-    found = written(near_duplicates(docs, max_distance).groupBy("row").agg(F.min("keep").alias("keep"), F.count("*").alias("n")), "keep")
-    row = F.xxhash64(F.col("doc_id"), F.col("text"))
-    gone = found.where("not keep").select(F.col("row").alias("_row"))
-    again = found.where("keep and n > 1").select(F.col("row").alias("_row"))
-    kept = docs.join(small_or_shuffled(gone), row == F.col("_row"), "left_anti")
-    single = kept.join(small_or_shuffled(again), row == F.col("_row"), "left_anti")
-    repeated = kept.join(small_or_shuffled(again), row == F.col("_row"), "left_semi")
-    return single.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    """The rows of docs that near_duplicates keeps, one of each set of rows equal in doc_id and text; same columns, whatever their names."""
+    found = written(near_duplicates(docs, max_distance).groupBy("row", "doc_id").agg(F.min("keep").alias("keep"), F.count("*").alias("n")), "keep")
+    doc, row = (unused(docs, c) for c in ("_doc", "_row"))
+
+    def rows(which: str) -> DataFrame:
+        return small_or_shuffled(written(found.where(which).select(F.col("doc_id").alias(doc), F.col("row").alias(row)), "rows"))
+
+    same = F.col("doc_id").try_cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("doc_id", "text") == F.col(row))
+    kept = docs.join(rows("not keep"), same, "left_anti")
+    again = rows("keep and n > 1")
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
