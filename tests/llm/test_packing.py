@@ -30,13 +30,13 @@ def test_like_naive_best_fit(capacity, lengths):
     assert sorted(capacity - used) == naive(lengths.tolist(), capacity)
 
 
-@pytest.mark.parametrize("group_rows", [50_000, 40])
-def test_every_token_once(spark, group_rows):
+@pytest.mark.parametrize("parts", [256, 1])
+def test_every_token_once(spark, parts):
     rng = np.random.default_rng(5)
     rows = [(i, "w " * int(n), "x", None) for i, n in enumerate(rng.integers(1, 90, 300))]
     rows += [(900, "z " * 100_000, None, 1), (901, None, None, None), (902, " ", None, None), (None, "a b c", None, None), rows[0], rows[0]]
-    packs = packing.packed(spark.createDataFrame(rows, SCHEMA), 64, group_rows).collect()
-    assert len({(p.pack_group, p.pack) for p in packs}) == len(packs)
+    packs = packing.packed(spark.createDataFrame(rows, SCHEMA), 64, parts).collect()
+    assert sorted(p.pack for p in packs) == list(range(len(packs)))
     spans = {}
     for p in packs:
         assert p.used == sum(p.lengths) <= 64
@@ -47,8 +47,8 @@ def test_every_token_once(spark, group_rows):
         size[d] = size.get(d, 0) + len((t or "").split())
     assert {d: sum(n for _, n in s) for d, s in spans.items()} == {d: n for d, n in size.items() if n}
     assert sorted(spans[900]) == [(s, min(64, 100_000 - s)) for s in range(0, 100_000, 64)]
-    if group_rows > 1000:
-        assert len(packs) <= -(-sum(size.values()) // 64) * 1.05
+    pieces = sorted((min(64, n - s) for _, t, *_ in rows for n in [len((t or "").split())] for s in range(0, n, 64)), reverse=True)
+    assert sorted(64 - p.used for p in packs) == naive(pieces, 64)  # the bins of one best fit over all of them
 
 
 def test_empty(spark):
