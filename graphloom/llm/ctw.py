@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_or_shuffled, written
+from .shared import small_or_shuffled, whole_id, written
 from .textcore import row_slices, text_bytes
 
 DEPTH = 4
@@ -264,7 +264,7 @@ class CostTable:
 def scored(docs: DataFrame, costs: DataFrame, table_grams: int = TABLE_GRAMS) -> DataFrame:
     """(doc_id, n_bytes, code_bits, bits_per_byte) of each row of docs. code_bits is 0 and bits_per_byte null for
     a null or empty text; costs hold every gram of docs."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = docs.select(whole_id(), "text")
     if costs.count() > table_grams:
         return _scored_by_join(docs, costs)
     found = costs.toArrow()
@@ -294,7 +294,7 @@ def _scored_by_join(docs: DataFrame, costs: DataFrame) -> DataFrame:
                 pick = pa.array(key // max(1, len(known)))
                 yield pa.RecordBatch.from_arrays([part.column("row").take(pick), pa.array(known[key % max(1, len(known))].astype(np.int64)), pa.array(n)], names=["row", "gram", "n"])
 
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), whole_id(), "text")
     total = keyed.dropDuplicates(["row"]).select("row", "text").mapInArrow(run, "row long, gram long, n long").join(costs, "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("bits")).alias("code_bits"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     out = keyed.select("row", "doc_id", size.alias("n_bytes")).join(total, "row", "left")

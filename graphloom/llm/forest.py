@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import whole_id, written
 
 TREES = 24
 BITS = 60
@@ -46,7 +46,7 @@ def strings(vectors: np.ndarray, hyperplanes: np.ndarray) -> np.ndarray:
 def usable(embeddings: DataFrame) -> DataFrame:
     """(id, vector) of rows that can be searched: unit vectors of one length, the commonest (the longest of equally common)."""
     value = F.col("embedding").cast("array<float>")
-    rows = embeddings.where("vec_id is not null and embedding is not null and size(embedding) > 0").select(F.col("vec_id").cast("long").alias("id"), value.alias("vector"))
+    rows = embeddings.where("try_cast(vec_id as bigint) is not null and embedding is not null and size(embedding) > 0").select(whole_id("vec_id").alias("id"), value.alias("vector"))
     rows = rows.where(~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     rows = rows.withColumn("norm", norm).where("norm > 0")

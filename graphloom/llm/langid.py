@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small_or_shuffled, written
+from .shared import small_or_shuffled, unused, written
 from .textcore import row_slices, text_bytes
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SAMPLE_PER_LANGUAGE = 300
 MIN_CONFIDENCE = 0.5
+#: Columns that identified() adds.
+ADDED = ("_predicted", "_confidence", "_accepted")
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.01, 3
 _MULTIPLIERS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)]
 _LETTER = np.zeros(128, dtype=bool)
@@ -183,15 +185,15 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
 
 
 def identified(docs: DataFrame, model: Model, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """docs with _predicted, _confidence and _accepted added, every row of docs once.
+    """docs with _predicted, _confidence and _accepted added last (with more underscores where docs has such columns), every row of docs once.
 
     _accepted: the calibrated probability of the best language is at least
     min_confidence. A null or empty text, one without letters, or a model that saw no
     labelled row gives null, null and false. Ties go to the first language in order.
-    Other columns pass through, whatever their names but these three.
+    Other columns pass through.
     """
 
-    names = docs.columns
+    names = [*docs.columns, *(unused(docs, c) for c in ADDED)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,12 +204,19 @@ def identified(docs: DataFrame, model: Model, min_confidence: float = MIN_CONFID
                     p = model.probabilities(logits)
                     best, sure = p.argmax(axis=1), p.max(axis=1)
                 label = pa.array(model.labels or [""], pa.string()).take(pa.array(best, mask=~some))
-                yield pa.RecordBatch.from_arrays([*part.columns, label, pa.array(sure, mask=~some), pa.array(some & (sure >= min_confidence))], names=[*names, "_predicted", "_confidence", "_accepted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, label, pa.array(sure, mask=~some), pa.array(some & (sure >= min_confidence))], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, _predicted string, _confidence double, _accepted boolean")
+    added = ", ".join(f"{c} {t}" for c, t in zip(names[-3:], ("string", "double", "boolean")))
+    return docs.mapInArrow(run, f"{schema}, {added}")
 
 
 def language_id(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Train on docs (doc_id, text, lang) and identify all of them; an empty table gives no rows."""
     return identified(docs, train(docs, per_language), min_confidence)
+
+
+def accepted(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """The rows of docs that language_id accepts, with the columns of docs, whatever their names."""
+    found = language_id(docs, per_language, min_confidence)
+    return found.where(F.col(found.columns[-1])).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import small_or_shuffled, written
+from .shared import small_or_shuffled, whole_id, written
 from .textcore import row_slices, span_hashes, words
 
 K = 3
@@ -163,6 +163,6 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, min_co
                 types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["doc_id", "license", "template", "first_word", "last_word", "coverage"])
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("_row"))
+    keyed = docs.select(whole_id(), "text", F.xxhash64("doc_id", "text").alias("_row"))
     joined = keyed.join(small_or_shuffled(lists), "_row").select("doc_id", "text", "_spans")
     return joined.mapInArrow(run, "doc_id long, license string, template int, first_word int, last_word int, coverage double")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_or_shuffled, written
+from .shared import small_or_shuffled, unused, written
 
 SEED = 17
+#: Copies of a document that are numbered at once.
+STEP = 1000
 #: A token is a maximal run of characters other than space, tab, newline, return and form feed.
 TOKEN = r"[^ \t\n\r\f]+"
 
@@ -47,17 +49,21 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, budget: int | None = None, seed: int = SEED) -> DataFrame:
     """docs (doc_id, text, source, any others) with each row floor(rate) times, and once more
-    with the probability of the fraction; _rate and _copy (from 0) are added.
+    with the probability of the fraction; _rate and _copy (from 0) are added last, with more underscores where docs has such columns.
 
     Null sources are one source. Rows of equal doc_id share their draw, so repeated rows
     are repeated alike. Null and empty texts have no tokens but go with their
     source. An empty table gives no rows.
     """
-    rates = small_or_shuffled(written(source_rates(docs, weights, budget), "rates").select(F.col("source").alias("_source"), F.col("rate").alias("_rate")))
-    floor = F.floor("_rate")
-    copies = (floor + F.when(draw(seed) < F.col("_rate") - floor, 1).otherwise(0)).cast("int")
-    joined = docs.join(rates, docs["source"].eqNullSafe(F.col("_source"))).drop("_source")
-    return joined.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    source, rate, copy = (unused(docs, c) for c in ("_source", "_rate", "_copy"))
+    rates = small_or_shuffled(written(source_rates(docs, weights, budget), "rates").select(F.col("source").alias(source), F.col("rate").alias(rate)))
+    floor = F.floor(rate)
+    copies = floor + F.when(draw(seed) < F.col(rate) - floor, 1).otherwise(0)
+    joined = docs.join(rates, docs["source"].eqNullSafe(F.col(source))).drop(source)
+    # in two steps, so that no array of numbers grows beyond the root of the copies
+    step = F.lit(STEP).cast("long")
+    first = joined.where(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), copies - 1, step)))
+    return first.withColumn(copy, F.explode(F.sequence(F.col(copy), F.least(F.col(copy) + (STEP - 1), copies - 1))))
 
 
 SQL = f"""
@@ -67,5 +73,5 @@ r AS (SELECT source, coalesce((1::DOUBLE / (SELECT count(*) FROM s)) * (SELECT s
 c AS (SELECT t.doc_id, t.source, rate,
   ('0x' || substr(md5('{SEED}:' || coalesce(t.doc_id::VARCHAR, t.text, '')), 1, 8))::BIGINT::DOUBLE / 4294967296 AS u
   FROM t JOIN r ON t.source IS NOT DISTINCT FROM r.source)
-SELECT doc_id, source, round(rate, 9) AS rate, unnest(range(0, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT))::INTEGER AS copy FROM c
+SELECT doc_id, source, round(rate, 9) AS rate, unnest(range(0, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT))::BIGINT AS copy FROM c
 """

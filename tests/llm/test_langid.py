@@ -51,3 +51,61 @@ def test_empty_and_unlabelled(spark):
     assert row._predicted is None and row._accepted is False
     (row,) = langid.language_id(spark.createDataFrame([(1, "some text", "aa", None, None)], SCHEMA)).collect()
     assert row._predicted == "aa" and row._confidence == 1.0
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(i, text, lang, None, k, False, "p", 0.1) for i, text, lang, _, k in sample(5, 30)], SCHEMA + ", _accepted boolean, _predicted string, _confidence double")
+    found = langid.language_id(docs, 30)
+    assert found.columns == [*docs.columns, "__predicted", "__confidence", "__accepted"]
+    kept = langid.accepted(docs, 30)
+    assert kept.columns == docs.columns and kept.count() == sum(r["__accepted"] for r in found.collect()) > 20
+
+
+def test_fit_against_the_definition():
+    """Weights of FTRL-proximal recomputed coordinate by coordinate, the temperature by a finer search."""
+    rng = np.random.default_rng(6)
+    examples = [("ab"[i % 2], np.sort(rng.choice(40, 6, replace=False)) + 20 * (i % 2), rng.integers(1, 4, 6)) for i in range(60)]
+    idf = np.ones(langid.BUCKETS)
+    model = langid.fit(examples, idf)
+    train = [e for i, e in enumerate(examples) if i % 5]
+    z, n = {}, {}
+
+    def weight(c, j):
+        l1 = 0 if j == "bias" else langid.L1
+        v = z.get((c, j), 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - np.sign(v) * l1) / ((langid.BETA + n.get((c, j), 0.0) ** 0.5) / langid.ALPHA + langid.L2)
+
+    def values(e):
+        x = 1 + np.log(e[2])
+        x = x / np.sqrt((x * x).sum())
+        return [*zip(e[1].tolist(), x.tolist()), ("bias", 1.0)]
+
+    for _ in range(langid.EPOCHS):
+        for e in train:
+            at = values(e)
+            s = [sum(weight(c, j) * x for j, x in at) for c in (0, 1)]
+            p = np.exp(np.array(s) - max(s))
+            p /= p.sum()
+            old = {(c, j): weight(c, j) for c in (0, 1) for j, _ in at}
+            for c in (0, 1):
+                for j, x in at:
+                    g = (p[c] - (c == "ab".index(e[0]))) * x
+                    before = n.get((c, j), 0.0)
+                    z[c, j] = z.get((c, j), 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / langid.ALPHA * old[c, j]
+                    n[c, j] = before + g * g
+    for c in (0, 1):
+        assert abs(model.bias[c] - weight(c, "bias")) < 1e-9
+        assert all(abs(model.weights[c][j] - weight(c, j)) < 1e-9 for j in range(60))
+
+    def loss(t):
+        held, total = examples[::5], 0.0
+        miss = 1 / (len(held) + 2)
+        for e in held:
+            s = np.array([sum(weight(c, j) * x for j, x in values(e)) for c in (0, 1)]) / t
+            log_p = s - np.log(np.exp(s - s.max()).sum()) - s.max()
+            y = "ab".index(e[0])
+            total -= (1 - miss) * log_p[y] + miss * log_p[1 - y]
+        return total
+
+    best = min(np.exp(np.linspace(np.log(0.02), np.log(20), 4000)), key=loss)
+    assert abs(np.log(best / model.temperature)) < 0.04

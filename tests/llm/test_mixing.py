@@ -39,3 +39,13 @@ def test_copies_follow_rates(spark, docs):
 
 def test_empty(spark):
     assert mixing.mixed(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_clashing_names_and_many_copies(spark):
+    rows = [(1, "w " * 4000, "large", 0.5, None, "c", "s"), ("2", "w", "tiny", None, 1, None, None)]
+    docs = spark.createDataFrame([tuple(r) for r in [(str(rows[0][0]), *rows[0][1:]), rows[1]]], "doc_id string, text string, source string, rate double, _rate int, _copy string, _source string")
+    out = mixing.mixed(docs)
+    assert out.columns == [*docs.columns, "__rate", "__copy"]
+    got = out.collect()
+    copies = sorted(r["__copy"] for r in got if r.doc_id == "2")
+    assert copies == list(range(len(copies))) and 2000 <= len(copies) <= 2001 and {r._copy for r in got if r.doc_id == "1"} <= {"c"}
