@@ -71,7 +71,7 @@ def entity_iri(key: Column, base: str = IRI_BASE) -> Column:
 
 
 def denormalize_iri(iri: Column, base: str = IRI_BASE) -> Column:
-    short = F.replace(F.replace(F.substring(iri, len(base) + 1, 1 << 20), F.lit("entity/"), F.lit("")), F.lit("_"), F.lit("."))
+    short = F.replace(F.replace(F.substr(iri, F.lit(len(base) + 1)), F.lit("entity/"), F.lit("")), F.lit("_"), F.lit("."))
     return F.when(F.startswith(iri, F.lit(base)), short).otherwise(iri)
 
 
@@ -124,6 +124,16 @@ def node_name(kind: Column, key: Column, text: Column, label: Column) -> Column:
     return F.when(kind == "iri", label).when(kind == "lem", key).otherwise(text)
 
 
+def display_label(kind: Column, text: Column, label: Column) -> Column:
+    """What a node is drawn with: nothing for words without content, the prefix form of a class's label, else its text."""
+    return F.when(kind == "dep", "").when(kind == "iri", normalize_prefix(label)).otherwise(text)
+
+
+def node_iri(kind: Column, key: Column, label: Column) -> Column:
+    """IRI of a node: the key of a class, a label that is one, else null."""
+    return F.when(kind == "iri", key).when(F.startswith(label, F.lit("http")), label)
+
+
 def stacked_count(pos: Column, kind: Column, count: Column) -> Column:
     return F.when((pos == "VERB") | (kind == "iri"), 0).otherwise(count)
 

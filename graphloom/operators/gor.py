@@ -7,7 +7,7 @@ its number of relations squared, not its degree squared.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -58,12 +58,10 @@ def pair_counts(triples: DataFrame) -> DataFrame:
 def affinity(triples: DataFrame) -> DataFrame:
     """(rel_a, rel_b, affinity), rel_a <= rel_b: the mean of the shares each has in what the other meets."""
     w = pair_counts(triples).groupBy("rel_a", "rel_b").agg(F.sum("tally").alias("w"))
-    s = w.groupBy(F.col("rel_a").alias("rel")).agg(F.sum("w").alias("s"))
-    share = w.join(s, w["rel_a"] == s["rel"])
-    share = share.select("rel_a", "rel_b", (F.col("w") / F.col("s")).alias("share"))
-    x, y = share.alias("x"), share.alias("y")
-    both = x.join(y, (F.col("x.rel_a") == F.col("y.rel_b")) & (F.col("x.rel_b") == F.col("y.rel_a")))
-    return both.where("x.rel_a <= x.rel_b").select("x.rel_a", "x.rel_b", ((F.col("x.share") + F.col("y.share")) / 2).alias("affinity"))
+    share = F.col("w") / F.sum("w").over(Window.partitionBy("rel_a"))
+    # what one relation meets meets it: a pair has both shares, or one with itself, which counts whole
+    half = w.select(F.least("rel_a", "rel_b").alias("rel_a"), F.greatest("rel_a", "rel_b").alias("rel_b"), F.when(F.col("rel_a") == F.col("rel_b"), share).otherwise(share / 2).alias("half"))
+    return half.groupBy("rel_a", "rel_b").agg(F.sum("half").alias("affinity"))
 
 
 def trace_metrics(scores: DataFrame, expected: DataFrame) -> DataFrame:
@@ -71,6 +69,16 @@ def trace_metrics(scores: DataFrame, expected: DataFrame) -> DataFrame:
     return scores.join(expected, ["rel_a", "rel_b"], "left").select("rel_a", "rel_b", "affinity", "expected")
 
 
+def published(scores: DataFrame, places: int = 2) -> DataFrame:
+    """(pair, rel_a, rel_b, affinity, expected) of trace_metrics, rounded as published; pair joins the names."""
+    return scores.select(F.concat_ws(" ", "rel_a", "rel_b").alias("pair"), "rel_a", "rel_b", F.round("affinity", places).alias("affinity"), "expected")
+
+
+def source_edges(triples: DataFrame) -> DataFrame:
+    """(node, dir, edges): the (src, rel, dst) of every node by direction, in order."""
+    return seeds(triples).groupBy("node", "dir").agg(F.array_sort(F.collect_list(F.struct("src", "rel", "dst"))).alias("edges"))
+
+
 def edge_styles(scores: DataFrame) -> DataFrame:
     """(rel_a, rel_b, title, width) for drawing: affinity to two places, and a width of its tenths, cut off."""
     return scores.select("rel_a", "rel_b", F.round("affinity", 2).alias("title"), (F.col("affinity") * 10).cast("int").alias("width"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 MIN_ALIAS = 0.8
+MIN_SIMILARITY = 0.9
 MIN_RELATION = 0.9
 
 
@@ -24,6 +25,34 @@ def link_entities(nodes: DataFrame, entities: DataFrame, min_alias: float = MIN_
     return nodes.where("kind = 'ent'").withColumn("query", F.lower("text")).join(found, "query").select("graph_id", "key", "iri", "prob", "name")
 
 
+def unlinked(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Entity nodes that no link has."""
+    return nodes.where("kind = 'ent'").join(links.select("graph_id", "key"), ["graph_id", "key"], "left_anti")
+
+
+def link_spotted(nodes: DataFrame, spotted: DataFrame, entities: DataFrame, min_similarity: float = MIN_SIMILARITY, min_alias: float = MIN_ALIAS) -> DataFrame:
+    """(graph_id, key, iri, prob, name) of proper nouns that an annotator spotted (text, iri, similarity), at least min_similarity, and whose
+    text the entities have as well, over min_alias; the most similar, then the first IRI, of several."""
+    known = link_entities(nodes.where("pos = 'PROPN'"), entities, min_alias).select("graph_id", "key", "name")
+    best = spotted.where(F.col("similarity") >= min_similarity).groupBy(F.lower("text").alias("query")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), "iri")).alias("b"))
+    found = nodes.select("graph_id", "key", F.lower("text").alias("query")).join(best, "query").join(known, ["graph_id", "key"])
+    return found.select("graph_id", "key", F.col("b.iri").alias("iri"), (-F.col("b.s")).alias("prob"), "name")
+
+
+def link_all(nodes: DataFrame, entities: DataFrame, spotted: DataFrame | None = None) -> DataFrame:
+    """Links of entity nodes: what an annotator spotted first, a search by name for the rest."""
+    if spotted is None:
+        return link_entities(nodes, entities)
+    first = link_spotted(nodes, spotted, entities)
+    return first.unionByName(link_entities(unlinked(nodes, first), entities))
+
+
+def link_secondary(links: DataFrame, entities: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """(graph_id, key, iri, prob, name): the entity of another source for the name of each link, over min_similarity; links without one are left out."""
+    asked = links.select("graph_id", "key", F.lit("ent").alias("kind"), F.col("name").alias("text"))
+    return link_entities(asked, entities, min_similarity)
+
+
 def link_nodes(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Class-like nodes and edges for links, in the columns of the lemma graph."""
     nodes = links.groupBy("graph_id", "iri").agg(F.first("name").alias("name"), F.count("*").alias("count"))

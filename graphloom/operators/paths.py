@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+
 #: Nodes of a path at most; hops are one fewer.
 MAX_NODES = 11
-#: Edges of a graph up to which communities are computed; each split costs nodes times edges.
-MAX_EDGES = 20_000
 #: (kind, shape, color)
 STYLES = [("dep", "star", "gray"), ("lem", "square", "olive"), ("ent", "circle", "orange"), ("chu", "triangle", "teal"), ("iri", "diamond", "tan")]
+#: (kind, arrows, color, width); others have none.
+EDGE_STYLES = [("dep", "to", "ltgray", 0), ("inf", "to", "hsl(289, 17%, 49%)", 3), ("syn", "from", "hsl(55, 17%, 49%)", 2)]
 
 
 def distances(edges: dict[str, set[str]], start: str, most: int) -> dict[str, int]:
@@ -60,17 +62,28 @@ def near_pairs(pairs: DataFrame, toks: DataFrame, max_nodes: int = MAX_NODES) ->
 
 
 def term_frequencies(nodes: DataFrame, weight: str = "count") -> DataFrame:
-    """(graph_id, term, frequency): weights scaled to 1000 for the greatest of each graph; the greatest of equal terms."""
+    """(graph_id, term, frequency): weights scaled to 1000 for the greatest of each graph. Of equal terms, the last node counts, by node_id where nodes have one; else the greatest."""
     top = nodes.groupBy("graph_id").agg(F.max(weight).alias("top"))
     scaled = F.bround(F.col(weight).cast("double") / F.col("top") * 1000).cast("int")
-    return nodes.join(top, "graph_id").groupBy("graph_id", F.translate("text", " ", "_").alias("term")).agg(F.max(scaled).alias("frequency"))
+    one = F.max_by(scaled, "node_id") if "node_id" in nodes.columns else F.max(scaled)
+    return nodes.join(top, "graph_id").groupBy("graph_id", F.translate("text", " ", "_").alias("term")).agg(one.alias("frequency"))
 
 
 def styled(nodes: DataFrame) -> DataFrame:
-    """(graph_id, key, shape, color, size, value) for drawing."""
+    """(graph_id, key, shape, color, size, value, title, name) for drawing."""
     styles = nodes.sparkSession.createDataFrame(STYLES, "kind string, shape string, color string")
     value = F.when(F.col("kind").isin("chu", "iri"), 0.0).otherwise(F.col("weight"))
-    return nodes.join(F.broadcast(styles), "kind").select("graph_id", "key", "shape", "color", F.col("count").alias("size"), value.alias("value"))
+    title = F.when(F.col("kind") == "iri", F.col("text")).otherwise(F.col("key"))
+    name = F.when(F.col("kind") == "iri", S.normalize_prefix(F.col("key"))).otherwise(S.display_label(F.col("kind"), F.col("text"), F.col("label")))
+    return nodes.join(F.broadcast(styles), "kind").select("graph_id", "key", "shape", "color", F.col("count").alias("size"), value.alias("value"), title.alias("title"), name.alias("name"))
+
+
+def styled_edges(edges: DataFrame) -> DataFrame:
+    """(graph_id, src, dst, title, arrows, color, width) for drawing, one for all edges between two nodes: the last that the graph got, by kind (classes, dependencies, chunks, then what was linked or inferred) and relation."""
+    late = F.when(F.col("kind") == "iri", 0).when(F.col("kind") == "dep", 1).when(F.col("kind") == "chu", 2).when(F.col("kind") == "syn", 3).otherwise(4)
+    last = edges.groupBy("graph_id", "src", "dst").agg(F.max(F.struct(late.alias("late"), "rel", "kind")).alias("e"))
+    styles = edges.sparkSession.createDataFrame(EDGE_STYLES, "kind string, arrows string, color string, width int")
+    return last.select("graph_id", "src", "dst", F.col("e.rel").alias("title"), "e.kind").join(F.broadcast(styles), "kind", "left").select("graph_id", "src", "dst", "title", "arrows", "color", "width")
 
 
 def _components(links: dict[int, set[int]], n: int) -> list[list[int]]:
@@ -137,8 +150,8 @@ def split_communities(n: int, edges: set[tuple[int, int]], splits: int = 2) -> l
     return parts
 
 
-def communities(nodes: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
-    """(graph_id, key, community) of the second split of each graph; a graph of more than max_edges edges is an error."""
+def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, key, community) of the second split of each graph, whatever its size: each edge taken out costs nodes times edges."""
     both = nodes.select("graph_id", F.col("key").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(edges.select("graph_id", "src", "dst")).withColumn("graph_id", F.col("graph_id").cast("long"))
 
     def run(table: pa.Table) -> pa.Table:
@@ -146,8 +159,6 @@ def communities(nodes: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES)
         keys = sorted({a for a, b in pairs if b is None})
         at = {k: i for i, k in enumerate(keys)}
         links = {(at[a], at[b]) for a, b in pairs if b is not None}
-        if len(links) > max_edges:
-            raise ValueError(f"{len(links)} edges in one graph; communities are computed up to {max_edges}")
         parts = split_communities(len(keys), links)
         of = {i: c for c, part in enumerate(parts) for i in part}
         return pa.Table.from_arrays([pa.array([table["graph_id"][0].as_py()] * len(keys), pa.int64()), pa.array(keys, pa.string()), pa.array([of[i] for i in range(len(keys))], pa.int32())], names=["graph_id", "key", "community"])

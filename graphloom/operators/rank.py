@@ -75,8 +75,12 @@ def restack(frame: DataFrame) -> DataFrame:
 
 
 def phrases(nodes: DataFrame, edges: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """(graph_id, key, text, pos, label, count, weight, rank) of all nodes of positive weight, best first in each graph."""
-    frame = nodes.join(out_degree(nodes, edges), ["graph_id", "key"]).join(pagerank(nodes, edges, alpha), ["graph_id", "key"])
-    weighed = restack(frame).where("weight > 0")
-    listed = nodes.select("graph_id", "key", "text", "pos", "label", "count").join(weighed, ["graph_id", "key"])
-    return listed.withColumn("rank", F.row_number().over(Window.partitionBy("graph_id").orderBy(F.desc("weight"), "key")))
+    """(graph_id, key, text, pos, label, count, weight, rank) of all nodes of positive weight, best first in each graph.
+
+    Equal weights go by node_id, and it is listed, where nodes have one; else by key.
+    """
+    frame = nodes.join(out_degree(nodes, edges), ["graph_id", "key"]) if "neighbors" not in nodes.columns else nodes
+    ids = ["node_id"] if "node_id" in nodes.columns else []
+    weighed = restack(frame.join(pagerank(nodes, edges, alpha), ["graph_id", "key"])).where("weight > 0")
+    listed = nodes.select("graph_id", "key", *ids, "text", "pos", "label", "count").join(weighed, ["graph_id", "key"])
+    return listed.withColumn("rank", F.row_number().over(Window.partitionBy("graph_id").orderBy(F.desc("weight"), *(ids or ["key"]))))

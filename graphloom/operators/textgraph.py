@@ -7,7 +7,7 @@ until the end, so heads and chunks need no shuffle. Graphs are keyed by graph_id
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -19,6 +19,8 @@ DETERMINERS = ("the", "a", "an", "der", "die", "das", "la", "le", "el", "los", "
 ADPOSITIONS = ("of", "in", "to", "on", "at", "by", "for", "from", "with", "de", "en", "von", "zu", "mit", "pour", "dans", "con", "para")
 VERB_ENDINGS = ("ed", "ing")
 CONTENT = ("NOUN", "PROPN", "VERB")
+RDF_TYPE = S.W3 + "1999/02/22-rdf-syntax-ns#type"
+LOC = "array<struct<para_id:int,sent_id:int,tok_i:int>>"
 
 
 def part_of_speech(text: Column, first: Column) -> Column:
@@ -43,37 +45,57 @@ def sentences(docs: DataFrame) -> DataFrame:
     """(graph_id, para_id, sent_id, words): paragraphs are lines; null texts give none."""
     paras = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").alias("graph_id"), F.posexplode(F.split("text", "\n")).alias("para_id", "para"))
     sents = paras.select("graph_id", "para_id", F.posexplode(F.regexp_extract_all("para", F.lit(SENTENCE), F.lit(0))).alias("sent_id", "sent"))
-    return sents.select("graph_id", "para_id", "sent_id", F.regexp_extract_all("sent", F.lit(TOKEN), F.lit(0)).alias("words")).where(F.size("words") > 0)
+    return sents.select("graph_id", "para_id", "sent_id", F.regexp_extract_all("sent", F.lit(TOKEN), F.lit(0)).alias("words"))
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """df with its columns worked out once for each row: else the optimiser may put them into lambdas, to be worked out for each element."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """(graph_id, para_id, sent_id, tok_i, text, lemma, pos, kind, key, ent_label, head_i, dep) of every token."""
+    """(graph_id, para_id, sent_id, tok_i, text, lemma, pos, kind, key, ent_label, head_i, dep) of every token.
+
+    The head of a token is the next content word, so that a sentence falls into runs of one head each: heads cost
+    time in proportion to the sentence, and no shuffle.
+    """
+    place = ["graph_id", "para_id", "sent_id"]
     tagged = F.transform("words", lambda w, i: F.struct(i.alias("tok_i"), w.alias("text"), part_of_speech(w, i == 0).alias("pos")))
-    sents = sentences(docs).select("graph_id", "para_id", "sent_id", tagged.alias("toks"))
-    content = F.transform(F.filter("toks", lambda t: t["pos"].isin(*CONTENT)), lambda t: t["tok_i"])
-    verb = F.coalesce(F.get(F.transform(F.filter("toks", lambda t: t["pos"] == "VERB"), lambda t: t["tok_i"]), F.lit(0)), F.lit(-1))
-    sents = sents.select("*", content.alias("content"), verb.alias("verb"), F.size("toks").alias("n"))
-    flat = sents.select("graph_id", "para_id", "sent_id", "content", "verb", "n", F.expr("transform(toks, (t, i) -> struct(t.tok_i, t.text, t.pos, coalesce(get(toks, i - 1).pos, '') as before))").alias("toks"))
-    one = flat.select("graph_id", "para_id", "sent_id", "content", "verb", "n", F.explode("toks").alias("t"))
+    sents = _settled(sentences(docs).select(*place, tagged.alias("toks"))).where(F.size("toks") > 0)
+    at = lambda which: F.transform(F.filter("toks", which), lambda t: t["tok_i"])
+    verb = F.coalesce(F.get(at(lambda t: t["pos"] == "VERB"), F.lit(0)), F.lit(-1))
+    sents = _settled(sents.select(*place, "toks", at(lambda t: t["pos"].isin(*CONTENT)).alias("content"), verb.alias("verb"), F.size("toks").alias("n")))
+    runs = F.arrays_zip(F.concat(F.array(F.lit(0)), "content").alias("start"), F.concat("content", F.array(F.col("n"))).alias("end"))
+    before = lambda t: F.coalesce(F.get("toks", t["tok_i"] - 1)["pos"], F.lit(""))
+    with_head = lambda r: F.transform(F.slice("toks", r["start"] + 1, r["end"] - r["start"]), lambda t: F.struct(t["tok_i"], t["text"], t["pos"], before(t).alias("before"), F.least(r["end"], F.col("n") - 1).alias("head_i")))
+    one = sents.select(*place, "verb", F.explode(F.flatten(F.transform(runs, with_head))).alias("t"))
     t = F.col("t.tok_i")
-    head = F.coalesce(F.get(F.filter("content", lambda c: c > t), F.lit(0)), F.col("n") - 1)
-    pos = F.col("t.pos")
+    head, pos = F.col("t.head_i"), F.col("t.pos")
     noun = pos.isin("NOUN", "PROPN")
     dep = F.when(head == t, "root").when(noun & (F.col("t.before") == "ADP"), "pobj").when(noun & (t < F.col("verb")), "nsubj").when(pos == "DET", "det").when(pos == "ADP", "prep").when(pos == "PUNCT", "punct").otherwise("dep")
     key = F.when(F.contains("t.text", F.lit(" ")), S.span_key(F.col("t.text"), "PROPN")).otherwise(S.lemma_key(F.col("t.text"), pos))
     kind = F.when(pos == "PROPN", "ent").when(pos.isin("NOUN", "VERB"), "lem").otherwise("dep")
-    place = F.concat_ws(".", "graph_id", "para_id", "sent_id", t)
+    name = F.concat_ws(".", "graph_id", "para_id", "sent_id", t)
     label = F.when(kind == "ent", F.when(F.contains("t.text", F.lit(" ")), "PERSON").otherwise("GPE"))
     # words without content are nodes of their own place: they never merge
-    return one.select("graph_id", "para_id", "sent_id", t.alias("tok_i"), F.col("t.text").alias("text"), F.lower("t.text").alias("lemma"), pos.alias("pos"), kind.alias("kind"), F.when(kind == "dep", F.concat_ws(".", place, key)).otherwise(key).alias("key"), label.alias("ent_label"), head.alias("head_i"), dep.alias("dep"))
+    return one.select("graph_id", "para_id", "sent_id", t.alias("tok_i"), F.col("t.text").alias("text"), F.lower("t.text").alias("lemma"), pos.alias("pos"), kind.alias("kind"), F.when(kind == "dep", F.concat_ws(".", name, key)).otherwise(key).alias("key"), label.alias("ent_label"), head.alias("head_i"), dep.alias("dep"))
 
 
-def token_nodes(toks: DataFrame) -> DataFrame:
-    """(graph_id, key, kind, pos, text, label, count, sub_obj): tokens merged by key; the first occurrence names the node."""
+def token_nodes(toks: DataFrame, placed: bool = False) -> DataFrame:
+    """(graph_id, key, kind, pos, text, label, count, sub_obj): tokens merged by key; the first occurrence names the node.
+
+    placed adds length (in words), loc (all places; none for words without content) and order, that of first appearance.
+    """
     order = F.struct("para_id", "sent_id", "tok_i")
     first = F.min_by(F.struct("kind", "pos", "text", "ent_label"), order)
-    out = toks.groupBy("graph_id", "key").agg(first.alias("f"), F.count("*").alias("n"), F.max(F.col("dep").isin("nsubj", "pobj")).alias("sub_obj"))
-    return out.select("graph_id", "key", "f.kind", "f.pos", "f.text", S.remap_ner(F.col("f.ent_label")).alias("label"), F.when(F.col("f.kind") == "dep", 0).otherwise(F.col("n")).cast("long").alias("count"), "sub_obj")
+    where = [F.min(order).alias("at"), F.array_sort(F.collect_list(order)).alias("loc")] if placed else []
+    out = toks.groupBy("graph_id", "key").agg(first.alias("f"), F.count("*").alias("n"), F.max(F.col("dep").isin("nsubj", "pobj")).alias("sub_obj"), *where)
+    count = F.when(F.col("f.kind") == "dep", 0).otherwise(F.col("n")).cast("long")
+    base = out.select("graph_id", "key", "f.kind", "f.pos", "f.text", S.remap_ner(F.col("f.ent_label")).alias("label"), count.alias("count"), "sub_obj", *(["at", "loc"] if placed else []))
+    if not placed:
+        return base
+    at = F.struct(F.col("at.para_id").alias("para"), F.lit(0).alias("late"), F.col("at.sent_id").alias("sent"), F.lit(0).alias("step"), F.col("at.tok_i").alias("at"))
+    return base.select(*(c for c in base.columns if c not in ("at", "loc")), F.size(F.split("text", " ")).alias("length"), F.when(F.col("kind") == "dep", F.array().cast(LOC)).otherwise(F.col("loc")).alias("loc"), at.alias("order"))
 
 
 def dep_edges(toks: DataFrame) -> DataFrame:
@@ -85,48 +107,115 @@ def dep_edges(toks: DataFrame) -> DataFrame:
 
 
 def chunks(toks: DataFrame) -> DataFrame:
-    """(graph_id, para_id, sent_id, start, length, text, key): a determiner or noun run before a noun, of two tokens or more."""
-    arr = toks.groupBy("graph_id", "para_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("tok_i", "text", "pos"))).alias("t"))
-    starts = F.expr("filter(transform(t, x -> x.tok_i), i -> get(t, i).pos in ('DET', 'NOUN', 'PROPN') and not coalesce(get(t, i - 1).pos in ('NOUN', 'PROPN', 'DET'), false))")
-    one = arr.select("graph_id", "para_id", "sent_id", "t", F.explode(starts).alias("start"))
-    end = F.expr("coalesce(get(filter(transform(t, x -> x.tok_i), i -> i > start and not coalesce(get(t, i).pos in ('NOUN', 'PROPN'), false)), 0), size(t))")
-    cut = one.withColumn("length", end - F.col("start")).where("length > 1").withColumn("part", F.slice("t", F.col("start") + 1, F.col("length")))
+    """(graph_id, para_id, sent_id, start, length, text, key): a determiner or noun run before a noun, of two tokens or more.
+
+    A token is of the chunk that started last, unless something else than a noun came in between: two running
+    maxima of the sentence, whatever its length.
+    """
+    place = ["graph_id", "para_id", "sent_id"]
+    so_far = Window.partitionBy(*place).orderBy("tok_i")
+    noun = F.col("pos").isin("NOUN", "PROPN")
+    may_start = noun | (F.col("pos") == "DET")
+    begins = toks.select(*place, "tok_i", "text", "pos", (may_start & ~F.coalesce(F.lag(may_start).over(so_far), F.lit(False))).alias("begins"))
+    start = F.max(F.when(F.col("begins"), F.col("tok_i"))).over(so_far)
+    broken = F.max(F.when(~noun & ~F.col("begins"), F.col("tok_i"))).over(so_far)
+    inside = begins.select(*place, "tok_i", "text", "pos", start.alias("start"), broken.alias("broken")).where("start is not null and coalesce(broken, -1) <= start")
+    parts = inside.groupBy(*place, "start").agg(F.array_sort(F.collect_list(F.struct("tok_i", "text", "pos"))).alias("part")).where(F.size("part") > 1)
     text = F.array_join(F.transform("part", lambda x: x["text"]), " ")
     key = F.array_join(F.transform("part", lambda x: F.concat(F.lower(x["text"]), F.lit("."), x["pos"])), ".")
-    return cut.select("graph_id", "para_id", "sent_id", "start", "length", text.alias("text"), key.alias("key"))
+    return parts.select(*place, "start", F.size("part").alias("length"), text.alias("text"), key.alias("key"))
 
 
 def chunk_overlay(toks: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes of chunks whose key is no node yet, and their edges to the tokens they cover."""
+    """Nodes of chunks whose key is no node yet, and their edges to the tokens they cover; placed where nodes are."""
+    placed = "order" in nodes.columns
     fresh = chunks(toks).join(nodes.select("graph_id", "key"), ["graph_id", "key"], "left_anti")
     order = F.struct("para_id", "sent_id", "start")
-    new = fresh.groupBy("graph_id", "key").agg(F.min_by("text", order).alias("text"), F.count("*").alias("count"))
-    new = new.select("graph_id", "key", F.lit("chu").alias("kind"), F.lit("noun_chunk").alias("pos"), "text", F.lit(None).cast("string").alias("label"), "count", F.lit(False).alias("sub_obj"))
+    where = [F.min_by("length", order).alias("length"), F.array_sort(F.collect_list(F.struct("para_id", "sent_id", F.col("start").alias("tok_i")))).alias("loc")] if placed else []
+    new = fresh.groupBy("graph_id", "key").agg(F.min_by("text", order).alias("text"), F.count("*").alias("count"), *where)
+    columns = ["graph_id", "key", F.lit("chu").alias("kind"), F.lit("noun_chunk").alias("pos"), "text", F.lit(None).cast("string").alias("label"), "count", F.lit(False).alias("sub_obj")]
+    if placed:
+        one = F.get("loc", F.lit(0))
+        columns += ["length", "loc", F.struct(one["para_id"].alias("para"), F.lit(1).alias("late"), one["sent_id"].alias("sent"), F.lit(0).alias("step"), one["tok_i"].alias("at")).alias("order")]
     covered = fresh.select("graph_id", "para_id", "sent_id", F.col("key").alias("src"), F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("tok_i"))
     edges = covered.join(toks.select("graph_id", "para_id", "sent_id", "tok_i", F.col("key").alias("dst")), ["graph_id", "para_id", "sent_id", "tok_i"])
     edges = edges.groupBy("graph_id", "src", "dst").agg(F.count("*").alias("count"))
-    return new, edges.select("graph_id", "src", "dst", F.lit("noun_chunk").alias("rel"), F.lit("chu").alias("kind"), F.lit(1.0).alias("prob"), "count")
+    return new.select(*columns), edges.select("graph_id", "src", "dst", F.lit("noun_chunk").alias("rel"), F.lit("chu").alias("kind"), F.lit(1.0).alias("prob"), "count")
 
 
 def class_overlay(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes of the classes of entities, counted by entity, and the edges to them."""
+    """Nodes of the classes of entities, counted by entity, and the edges to them; placed, after the sentence of their first entity, where nodes are."""
     spark = nodes.sparkSession
-    classes = spark.createDataFrame([(iri, text) for _, iri, text, _ in S.NER_CLASSES], "label string, definition string")
+    placed = "order" in nodes.columns
+    classes = spark.createDataFrame([(iri, text, short) for _, iri, text, short in S.NER_CLASSES], "label string, definition string, short string")
     ents = nodes.where("kind = 'ent' and label is not null").join(F.broadcast(classes), "label")
-    new = ents.groupBy("graph_id", "label").agg(F.first("definition").alias("text"), F.count("*").alias("count"))
-    new = new.select("graph_id", F.col("label").alias("key"), F.lit("iri").alias("kind"), F.lit("rdf:type").alias("pos"), "text", "label", "count", F.lit(False).alias("sub_obj"))
-    edges = ents.select("graph_id", F.col("key").alias("src"), F.col("label").alias("dst"), F.lit("rdf:type").alias("rel"), F.lit("iri").alias("kind"), F.lit(0.0).alias("prob"), F.lit(1).cast("long").alias("count"))
-    return new, edges
+    new = ents.groupBy("graph_id", "label").agg(F.first("definition").alias("text"), F.first("short").alias("short"), F.count("*").alias("count"), *([F.min("order").alias("one")] if placed else []))
+    columns = ["graph_id", F.col("label").alias("key"), F.lit("iri").alias("kind"), F.lit(RDF_TYPE).alias("pos"), "text", F.col("short").alias("label"), "count", F.lit(False).alias("sub_obj")]
+    if placed:
+        columns += [F.size(F.split("short", " ")).alias("length"), F.array().cast(LOC).alias("loc"), F.struct("one.para", F.lit(0).alias("late"), "one.sent", F.lit(1).alias("step"), "one.at").alias("order")]
+    edges = ents.select("graph_id", F.col("key").alias("src"), F.col("label").alias("dst"), F.lit(RDF_TYPE).alias("rel"), F.lit("iri").alias("kind"), F.lit(0.0).alias("prob"), F.lit(1).cast("long").alias("count"))
+    return new.select(*columns), edges
 
 
-def lemma_graph(toks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def lemma_graph(toks: DataFrame, placed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the whole graph: tokens, chunks, classes."""
-    base = token_nodes(toks)
+    base = token_nodes(toks, placed)
     chunk_nodes, chunk_edges = chunk_overlay(toks, base)
     class_nodes, class_edges = class_overlay(base)
     return base.unionByName(chunk_nodes).unionByName(class_nodes), dep_edges(toks).unionByName(chunk_edges).unionByName(class_edges)
 
 
+def numbered(nodes: DataFrame) -> DataFrame:
+    """Placed nodes with node_id, from 0 in order of first appearance in their graph: sentence by sentence its tokens, then its classes; the chunks of a paragraph at its end."""
+    node_id = F.row_number().over(Window.partitionBy("graph_id").orderBy("order", "key")) - 1
+    return nodes.withColumn("node_id", node_id.cast("long")).drop("order")
+
+
+def whole_graph(toks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """lemma_graph with all that nodes have: node_id, length, loc, neighbors, annotated."""
+    nodes, edges = lemma_graph(toks, placed=True)
+    degree = edges.groupBy("graph_id", F.col("src").alias("key")).agg(F.count_distinct("dst").alias("neighbors"))
+    found = numbered(nodes).join(degree, ["graph_id", "key"], "left").withColumn("neighbors", F.coalesce("neighbors", F.lit(0)).cast("long"))
+    return found.withColumn("annotated", (F.col("kind") == "ent") & F.col("label").isNotNull()), edges
+
+
+def merged_with(nodes: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Nodes of a graph and those of an earlier one (a vocabulary, or a graph read back): equal keys are one node, its counts
+    summed; what the earlier one says of it holds, else what the later one does."""
+    both = nodes.select("graph_id", "key", "kind", "pos", "text", "label", "count", "sub_obj", F.lit(1).alias("late")).unionByName(earlier.select("graph_id", "key", "kind", "pos", "text", "label", "count", "sub_obj", F.lit(0).alias("late")))
+    first = F.min_by(F.struct("kind", "pos", "text"), "late").alias("f")
+    label = F.coalesce(F.max(F.when(F.col("late") == 0, F.col("label"))), F.max(F.when(F.col("late") == 1, F.col("label"))))
+    out = both.groupBy("graph_id", "key").agg(first, label.alias("label"), F.sum("count").alias("count"), F.max("sub_obj").alias("sub_obj"))
+    return out.select("graph_id", "key", "f.kind", "f.pos", "f.text", "label", "count", "sub_obj")
+
+
+def token_offsets(toks: DataFrame) -> DataFrame:
+    """(graph_id, para_id, sent_id, tok_i, length, offset): words of each token, and how many words of its paragraph come before it."""
+    before = Window.partitionBy("graph_id", "para_id").orderBy("sent_id", "tok_i").rowsBetween(Window.unboundedPreceding, -1)
+    sized = toks.select("graph_id", "para_id", "sent_id", "tok_i", F.size(F.split("text", " ")).alias("length"))
+    return sized.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("int"))
+
+
+def unmerged(toks: DataFrame) -> DataFrame:
+    """(graph_id, para_id, word_i, text, pos, sent_id, tok_i): the words of paragraphs, those of entities apart; tok_i is the token a word is of."""
+    place = ["graph_id", "para_id", "sent_id", "tok_i"]
+    words = toks.select(*place, "pos", F.posexplode(F.split("text", " ")).alias("k", "text"))
+    return words.join(token_offsets(toks), place).select("graph_id", "para_id", (F.col("offset") + F.col("k")).alias("word_i"), "text", "pos", "sent_id", "tok_i")
+
+
+def entity_keys(toks: DataFrame) -> DataFrame:
+    """(graph_id, para_id, ordinal, key, length) of the entities of paragraphs, in order from 0; length in words."""
+    order = F.row_number().over(Window.partitionBy("graph_id", "para_id").orderBy("sent_id", "tok_i")) - 1
+    return toks.where("kind = 'ent'").select("graph_id", "para_id", order.alias("ordinal"), "key", F.size(F.split("text", " ")).alias("length"))
+
+
+def chunk_offsets(toks: DataFrame) -> DataFrame:
+    """(graph_id, para_id, ordinal, key, first_word, words): chunks of paragraphs, in order from 0, by their place among the words of unmerged()."""
+    order = F.row_number().over(Window.partitionBy("graph_id", "para_id").orderBy("sent_id", "start")) - 1
+    one = chunks(toks).select("graph_id", "para_id", "sent_id", F.col("start").alias("tok_i"), "key", F.size(F.split("text", " ")).alias("words"), order.alias("ordinal"))
+    return one.join(token_offsets(toks), ["graph_id", "para_id", "sent_id", "tok_i"]).select("graph_id", "para_id", "ordinal", "key", F.col("offset").alias("first_word"), "words")
+
+
 def out_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, key, neighbors): distinct successors of every node."""
     degree = edges.groupBy("graph_id", F.col("src").alias("key")).agg(F.count_distinct("dst").alias("neighbors"))
@@ -152,11 +241,34 @@ def exported(nodes: DataFrame, edges: DataFrame, base: str = S.IRI_BASE) -> tupl
 
 
 def rdf_triples(nodes: DataFrame, edges: DataFrame, base: str = S.IRI_BASE, lang: str = "en") -> DataFrame:
-    """Distinct (graph_id, subj, pred, obj): labels, types, class definitions and inferred relations."""
-    iri = S.entity_iri(F.col("key"), base)
+    """Distinct (graph_id, subj, pred, obj): labels, types, class labels and definitions, and inferred relations.
+
+    The ends of a relation are the IRIs of what is exported, else the node's label, else what its IRI would be. A
+    relation that is an IRI stands in angle brackets.
+    """
     quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit(f'"@{lang}'))
-    named = nodes.where("kind in ('ent', 'lem') and pos <> 'VERB'").select("graph_id", iri.alias("subj"), F.lit("skos:prefLabel").alias("pred"), quoted(F.col("text")).alias("obj"))
-    typed = nodes.where("kind = 'ent' and label is not null").select("graph_id", iri.alias("subj"), F.lit("rdf:type").alias("pred"), F.concat(F.lit("<"), "label", F.lit(">")).alias("obj"))
-    classes = nodes.where("kind = 'iri'").select("graph_id", F.col("key").alias("subj"), F.lit("skos:definition").alias("pred"), quoted(F.col("text")).alias("obj"))
-    inferred = edges.where("kind = 'inf'").select("graph_id", S.entity_iri(F.col("src"), base).alias("subj"), F.col("rel").alias("pred"), F.concat(F.lit("<"), S.entity_iri(F.col("dst"), base), F.lit(">")).alias("obj"))
-    return named.unionByName(typed).unionByName(classes).unionByName(inferred).distinct()
+    own = S.entity_iri(F.col("key"), base)
+    is_named = F.col("kind").isin("ent", "lem") & (F.col("pos") != "VERB")
+    named = nodes.where(is_named).select("graph_id", own.alias("subj"), F.lit("skos:prefLabel").alias("pred"), quoted(F.col("text")).alias("obj"))
+    typed = nodes.where("kind = 'ent' and label is not null").select("graph_id", own.alias("subj"), F.lit("rdf:type").alias("pred"), F.concat(F.lit("<"), "label", F.lit(">")).alias("obj"))
+    classes = nodes.where("kind = 'iri'")
+    labels = classes.where("label is not null").select("graph_id", F.col("key").alias("subj"), F.lit("skos:prefLabel").alias("pred"), quoted(F.col("label")).alias("obj"))
+    defined = classes.select("graph_id", F.col("key").alias("subj"), F.lit("skos:definition").alias("pred"), quoted(F.col("text")).alias("obj"))
+    ref = nodes.select("graph_id", "key", F.when(F.col("kind") == "iri", F.col("key")).when(is_named, own).otherwise(F.coalesce("label", own)).alias("ref"))
+    inferred = edges.where("kind = 'inf'").join(ref.toDF("graph_id", "src", "subj"), ["graph_id", "src"]).join(ref.toDF("graph_id", "dst", "to"), ["graph_id", "dst"])
+    pred = F.when(F.contains("rel", F.lit("://")), F.concat(F.lit("<"), "rel", F.lit(">"))).otherwise(F.col("rel"))
+    inferred = inferred.select("graph_id", "subj", pred.alias("pred"), F.concat(F.lit("<"), "to", F.lit(">")).alias("obj"))
+    return named.unionByName(typed).unionByName(labels).unionByName(defined).unionByName(inferred).distinct()
+
+
+def default_labels(nodes: DataFrame) -> DataFrame:
+    """nodes, lemmas without a label labelled as things."""
+    thing = (F.col("kind") == "lem") & F.col("label").isNull()
+    return nodes.withColumn("label", F.when(thing, S.W3 + "2002/07/owl#Thing").otherwise(F.col("label")))
+
+
+def inferred_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, src, dst, rel, weight) of the inferred relations, by the texts of their ends."""
+    text = nodes.select("graph_id", "key", "text")
+    both = edges.where("kind = 'inf'").join(text.toDF("graph_id", "src", "from"), ["graph_id", "src"]).join(text.toDF("graph_id", "dst", "to"), ["graph_id", "dst"])
+    return both.select("graph_id", F.col("from").alias("src"), F.col("to").alias("dst"), "rel", F.col("prob").alias("weight"))

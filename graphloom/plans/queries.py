@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import gor, paths, rank, textgraph
-from ..sources import nodelink
+from ..operators import backends, gor, linking, paths, rank, textgraph
+from ..sources import exchange, nodelink
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -122,7 +122,7 @@ def _in(words: tuple[str, ...]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-_NER = ", ".join(f"('{label}', '{iri}', '{text}')" for label, iri, text, _ in S.NER_CLASSES)
+_NER = ", ".join(f"('{label}', '{iri}', '{text}', '{short}')" for label, iri, text, short in S.NER_CLASSES)
 TOKENS = rf"""
 paras AS (SELECT doc_id AS graph_id, unnest(string_split(text, chr(10))) AS para, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS para_id FROM documents WHERE text IS NOT NULL),
 sents AS (SELECT graph_id, para_id, unnest(regexp_extract_all(para, '{textgraph.SENTENCE}')) AS sent, generate_subscripts(regexp_extract_all(para, '{textgraph.SENTENCE}'), 1) - 1 AS sent_id FROM paras),
@@ -140,7 +140,7 @@ toks AS (SELECT graph_id, para_id::INTEGER AS para_id, sent_id::INTEGER AS sent_
   CASE WHEN kind = 'ent' THEN CASE WHEN contains(text, ' ') THEN 'PERSON' ELSE 'GPE' END END AS ent_label, head_i::INTEGER AS head_i,
   CASE WHEN head_i = tok_i THEN 'root' WHEN pos IN ('NOUN', 'PROPN') AND before = 'ADP' THEN 'pobj' WHEN pos IN ('NOUN', 'PROPN') AND tok_i < verb THEN 'nsubj'
     WHEN pos = 'DET' THEN 'det' WHEN pos = 'ADP' THEN 'prep' WHEN pos = 'PUNCT' THEN 'punct' ELSE 'dep' END AS dep FROM headed),
-ner AS (SELECT * FROM (VALUES {_NER}) v(ner, iri, definition)),
+ner AS (SELECT * FROM (VALUES {_NER}) v(ner, iri, definition, short)),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY graph_id, key ORDER BY para_id, sent_id, tok_i) AS r FROM toks),
 sums AS (SELECT graph_id, key, count(*) AS n, bool_or(dep IN ('nsubj', 'pobj')) AS sub_obj FROM toks GROUP BY graph_id, key),
 nodes AS (SELECT f.graph_id, f.key, f.kind, f.pos, f.text, ner.iri AS label, (CASE WHEN f.kind = 'dep' THEN 0 ELSE n END)::BIGINT AS count, sub_obj
@@ -148,6 +148,26 @@ nodes AS (SELECT f.graph_id, f.key, f.kind, f.pos, f.text, ner.iri AS label, (CA
 deps AS (SELECT x.graph_id, x.key AS src, y.key AS dst, x.dep AS rel, 'dep' AS kind, 1.0::DOUBLE AS prob, count(*) AS count FROM toks x JOIN toks y
   ON x.graph_id = y.graph_id AND x.para_id = y.para_id AND x.sent_id = y.sent_id AND x.head_i = y.tok_i WHERE x.key <> y.key GROUP BY x.graph_id, x.key, y.key, x.dep)
 """
+GRAPH = f"""
+cb AS (SELECT *, pos IN ('NOUN', 'PROPN', 'DET') AND NOT coalesce(lag(pos IN ('NOUN', 'PROPN', 'DET')) OVER s, false) AS begins FROM toks WINDOW s AS (PARTITION BY graph_id, para_id, sent_id ORDER BY tok_i)),
+cs AS (SELECT *, max(CASE WHEN begins THEN tok_i END) OVER s AS start, max(CASE WHEN NOT begins AND pos NOT IN ('NOUN', 'PROPN') THEN tok_i END) OVER s AS broken FROM cb WINDOW s AS (PARTITION BY graph_id, para_id, sent_id ORDER BY tok_i)),
+chunks AS (SELECT graph_id, para_id, sent_id, start, count(*)::INTEGER AS length, string_agg(text, ' ' ORDER BY tok_i) AS text, string_agg(lemma || '.' || pos, '.' ORDER BY tok_i) AS key
+  FROM cs WHERE start IS NOT NULL AND coalesce(broken, -1) <= start GROUP BY graph_id, para_id, sent_id, start HAVING count(*) > 1),
+fresh AS (SELECT chunks.* FROM chunks ANTI JOIN nodes ON chunks.graph_id = nodes.graph_id AND chunks.key = nodes.key),
+ranked_chunks AS (SELECT *, row_number() OVER (PARTITION BY graph_id, key ORDER BY para_id, sent_id, start) AS r, count(*) OVER (PARTITION BY graph_id, key) AS n FROM fresh),
+chunk_nodes AS (SELECT graph_id, key, 'chu' AS kind, 'noun_chunk' AS pos, text, NULL::VARCHAR AS label, n AS count, false AS sub_obj, length, para_id AS p, 1 AS late, sent_id AS s, 0 AS step, start AS t FROM ranked_chunks WHERE r = 1),
+chunk_edges AS (SELECT x.graph_id, x.key AS src, y.key AS dst, 'noun_chunk' AS rel, 'chu' AS kind, 1.0::DOUBLE AS prob, count(*) AS count FROM fresh x JOIN toks y
+  ON x.graph_id = y.graph_id AND x.para_id = y.para_id AND x.sent_id = y.sent_id AND y.tok_i BETWEEN x.start AND x.start + x.length - 1 GROUP BY x.graph_id, x.key, y.key),
+token_nodes AS (SELECT nodes.*, len(string_split(nodes.text, ' ')) AS length, f.para_id AS p, 0 AS late, f.sent_id AS s, 0 AS step, f.tok_i AS t FROM nodes JOIN firsts f ON f.graph_id = nodes.graph_id AND f.key = nodes.key AND f.r = 1),
+class_first AS (SELECT *, row_number() OVER (PARTITION BY graph_id, label ORDER BY p, s, t) AS r, count(*) OVER (PARTITION BY graph_id, label) AS n FROM token_nodes WHERE kind = 'ent' AND label IS NOT NULL),
+class_nodes AS (SELECT graph_id, label AS key, 'iri' AS kind, '{textgraph.RDF_TYPE}' AS pos, definition AS text, short AS label, n AS count, false AS sub_obj, len(string_split(short, ' ')) AS length, p, 0 AS late, s, 1 AS step, t FROM class_first JOIN ner ON ner.iri = class_first.label WHERE r = 1),
+class_edges AS (SELECT graph_id, key AS src, label AS dst, '{textgraph.RDF_TYPE}' AS rel, 'iri' AS kind, 0.0::DOUBLE AS prob, 1::BIGINT AS count FROM nodes WHERE kind = 'ent' AND label IS NOT NULL),
+all_edges AS (SELECT * FROM deps UNION ALL SELECT * FROM chunk_edges UNION ALL SELECT * FROM class_edges),
+all_nodes AS (SELECT * FROM token_nodes UNION ALL SELECT * FROM chunk_nodes UNION ALL SELECT * FROM class_nodes),
+degrees AS (SELECT graph_id, src AS key, count(DISTINCT dst) AS neighbors FROM all_edges GROUP BY graph_id, src),
+whole AS (SELECT a.*, row_number() OVER (PARTITION BY a.graph_id ORDER BY p, late, s, step, t, a.key) - 1 AS node_id, coalesce(neighbors, 0)::BIGINT AS neighbors, kind = 'ent' AND label IS NOT NULL AS annotated
+  FROM all_nodes a LEFT JOIN degrees d ON d.graph_id = a.graph_id AND d.key = a.key)
+"""
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,17 +189,17 @@ def edge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textgraph.dep_edges(_tokens(spark, sf_dir))
 
 
-@query(f"WITH {TOKENS} SELECT graph_id, label AS key, 'iri' AS kind, 'rdf:type' AS pos, definition AS text, label, count(*) AS count, false AS sub_obj FROM nodes JOIN ner ON ner.iri = nodes.label WHERE kind = 'ent' GROUP BY graph_id, label, definition")
+@query(f"WITH {TOKENS} SELECT graph_id, label AS key, 'iri' AS kind, '{textgraph.RDF_TYPE}' AS pos, definition AS text, short AS label, count(*) AS count, false AS sub_obj FROM nodes JOIN ner ON ner.iri = nodes.label WHERE kind = 'ent' GROUP BY graph_id, nodes.label, definition, short")
 def class_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textgraph.class_overlay(textgraph.token_nodes(_tokens(spark, sf_dir)))[0]
 
 
-@query(f"WITH {TOKENS} SELECT graph_id, key AS src, label AS dst, 'rdf:type' AS rel, 'iri' AS kind, 0.0::DOUBLE AS prob, 1::BIGINT AS count FROM nodes WHERE kind = 'ent' AND label IS NOT NULL")
+@query(f"WITH {TOKENS} SELECT graph_id, key AS src, label AS dst, '{textgraph.RDF_TYPE}' AS rel, 'iri' AS kind, 0.0::DOUBLE AS prob, 1::BIGINT AS count FROM nodes WHERE kind = 'ent' AND label IS NOT NULL")
 def class_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textgraph.class_overlay(textgraph.token_nodes(_tokens(spark, sf_dir)))[1]
 
 
-@query()
+@query(f"WITH {TOKENS}, {GRAPH} SELECT graph_id, key, kind, pos, text, label, count, sub_obj FROM chunk_nodes")
 def chunk_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     toks = _tokens(spark, sf_dir)
     return textgraph.chunk_overlay(toks, textgraph.token_nodes(toks))[0]
@@ -212,11 +232,49 @@ def export_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textgraph.exported(textgraph.token_nodes(toks), textgraph.dep_edges(toks))[1]
 
 
-@query(f"""WITH {TOKENS}, {_KEPT} SELECT graph_id, {_IRI} AS subj, 'skos:prefLabel' AS pred, '"' || text || '"@en' AS obj FROM kept
-UNION SELECT graph_id, {_IRI}, 'rdf:type', '<' || label || '>' FROM nodes WHERE kind = 'ent' AND label IS NOT NULL""")
+VERBS = """
+backwards AS (SELECT *, min(CASE WHEN pos = 'VERB' THEN tok_i END) OVER b AS v, min(CASE WHEN kind = 'ent' THEN tok_i END) OVER b AS e
+  FROM toks WINDOW b AS (PARTITION BY graph_id, para_id, sent_id ORDER BY tok_i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+said AS (SELECT x.graph_id, x.para_id, x.sent_id, x.text AS head, v.lemma AS rel, e.text AS tail, 1 - 0.002::DOUBLE * (x.e - x.tok_i) AS prob FROM backwards x
+  JOIN toks v ON v.graph_id = x.graph_id AND v.para_id = x.para_id AND v.sent_id = x.sent_id AND v.tok_i = x.v JOIN toks e ON e.graph_id = x.graph_id AND e.para_id = x.para_id AND e.sent_id = x.sent_id AND e.tok_i = x.e
+  WHERE x.kind = 'ent' AND x.v < x.e),
+lasts AS (SELECT graph_id, para_id, sent_id, text, arg_max(key, tok_i) AS key FROM toks GROUP BY graph_id, para_id, sent_id, text),
+infs AS (SELECT s.graph_id, h.key AS src, t.key AS dst, 'rel:' || s.rel AS rel, 'inf' AS kind, max(s.prob) AS prob, count(*) AS count FROM said s
+  JOIN lasts h ON h.graph_id = s.graph_id AND h.para_id = s.para_id AND h.sent_id = s.sent_id AND h.text = s.head
+  JOIN lasts t ON t.graph_id = s.graph_id AND t.para_id = s.para_id AND t.sent_id = s.sent_id AND t.text = s.tail WHERE s.prob >= 0.9 AND h.key <> t.key GROUP BY s.graph_id, h.key, t.key, s.rel)
+"""
+
+
+def _inferred(spark: SparkSession, toks: DataFrame) -> DataFrame:
+    found = backends.VerbRelations().triples(toks)
+    iris = linking.resolve_relations(found, spark.createDataFrame([], "rel string, equivalent string, broader string"), "rel")
+    return linking.inferred_edges(found.join(iris, "rel").drop("rel").withColumnRenamed("iri", "rel"), toks)
+
+
+@query(f"WITH {TOKENS}, {VERBS} SELECT graph_id, para_id, sent_id, head, rel, tail, round(prob, 9) AS prob FROM said")
+def verb_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backends.VerbRelations().triples(_tokens(spark, sf_dir)).withColumn("prob", F.round("prob", 9))
+
+
+@query(f"WITH {TOKENS}, {VERBS} SELECT graph_id, src, dst, rel, kind, round(prob, 9) AS prob, count FROM infs")
+def inferred_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _inferred(spark, _tokens(spark, sf_dir)).withColumn("prob", F.round("prob", 9))
+
+
+@query(f"WITH {TOKENS}, {VERBS} SELECT infs.graph_id, x.text AS src, y.text AS dst, rel, round(prob, 9) AS weight FROM infs JOIN nodes x ON x.graph_id = infs.graph_id AND x.key = src JOIN nodes y ON y.graph_id = infs.graph_id AND y.key = dst")
+def inferred_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    toks = _tokens(spark, sf_dir)
+    return textgraph.inferred_table(textgraph.token_nodes(toks), _inferred(spark, toks)).withColumn("weight", F.round("weight", 9))
+
+
+@query(f"""WITH {TOKENS}, {GRAPH}, {VERBS}, {_KEPT} SELECT graph_id, {_IRI} AS subj, 'skos:prefLabel' AS pred, '"' || text || '"@en' AS obj FROM kept
+UNION SELECT graph_id, {_IRI}, 'rdf:type', '<' || label || '>' FROM nodes WHERE kind = 'ent' AND label IS NOT NULL
+UNION SELECT graph_id, key, 'skos:prefLabel', '"' || label || '"@en' FROM class_nodes UNION SELECT graph_id, key, 'skos:definition', '"' || text || '"@en' FROM class_nodes
+UNION SELECT graph_id, {_IRI.replace('key', 'src')}, rel, '<' || {_IRI.replace('key', 'dst')} || '>' FROM infs""")
 def rdf_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     toks = _tokens(spark, sf_dir)
-    return textgraph.rdf_triples(textgraph.token_nodes(toks), textgraph.dep_edges(toks))
+    nodes, edges = textgraph.lemma_graph(toks)
+    return textgraph.rdf_triples(nodes, edges.unionByName(_inferred(spark, toks)))
 
 
 @query(r"SELECT page_id, CASE WHEN url LIKE 'http%' THEN 'site:' || CASE WHEN contains(url, '#') THEN regexp_extract(url, '#(.*)$', 1) ELSE regexp_extract(url, '^[a-z]+://[^/?#]*/([^?#]*)', 1) END ELSE url END AS short FROM pages WHERE regexp_extract(url, '//([^/?#]*)', 1) = 'ththon.example.com' UNION ALL SELECT page_id, url FROM pages WHERE regexp_extract(url, '//([^/?#]*)', 1) IS DISTINCT FROM 'ththon.example.com'")
@@ -257,11 +315,17 @@ def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ranked_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rank.phrases(*textgraph.lemma_graph(_tokens(spark, sf_dir)))
+    found = rank.phrases(*textgraph.whole_graph(_tokens(spark, sf_dir)))
     return found.withColumn("weight", F.round("weight", 9))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TOKENS}, e AS (SELECT graph_id, para_id, key, count(*) AS n FROM toks WHERE kind = 'ent' GROUP BY ALL),
+asked AS (SELECT x.graph_id, x.para_id, x.key AS src, y.key AS dst, (x.n * y.n)::BIGINT AS n FROM e x JOIN e y ON x.graph_id = y.graph_id AND x.para_id = y.para_id AND x.key <> y.key),
+one AS (SELECT DISTINCT x.graph_id, x.para_id, x.key AS a, y.key AS b FROM toks x JOIN toks y ON x.graph_id = y.graph_id AND x.para_id = y.para_id AND x.sent_id = y.sent_id AND x.head_i = y.tok_i
+  SEMI JOIN asked q ON q.graph_id = x.graph_id AND q.para_id = x.para_id WHERE x.key <> y.key),
+ways AS (SELECT graph_id, para_id, a, b FROM one UNION SELECT graph_id, para_id, b, a FROM one),
+reach(graph_id, para_id, src, place, hops) AS (SELECT DISTINCT graph_id, para_id, src, src, 0 FROM asked UNION SELECT r.graph_id, r.para_id, r.src, b.b, r.hops + 1 FROM reach r JOIN ways b ON b.graph_id = r.graph_id AND b.para_id = r.para_id AND b.a = r.place WHERE r.hops < {paths.MAX_NODES - 1})
+SELECT q.graph_id, q.para_id, q.src, q.dst, q.n, min(hops)::INTEGER AS hops FROM asked q JOIN reach r ON r.graph_id = q.graph_id AND r.para_id = q.para_id AND r.src = q.src AND r.place = q.dst GROUP BY q.graph_id, q.para_id, q.src, q.dst, q.n""")
 def near_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     toks = _tokens(spark, sf_dir)
     return paths.near_pairs(textgraph.entity_pairs(toks), toks)
@@ -275,24 +339,176 @@ def alias_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("n_name", "r_name", hit.alias("hit")).select("n_name", "r_name", F.round("hit.prob", 9).alias("prob"), "hit.name")
 
 
-@query(f"WITH {TOKENS}, {_KEPT}, m AS (SELECT graph_id, max(count) AS top FROM kept GROUP BY graph_id) SELECT kept.graph_id, replace(text, ' ', '_') AS term, max(round_even(count::DOUBLE / top * 1000, 0)::INTEGER) AS frequency FROM kept JOIN m ON m.graph_id = kept.graph_id GROUP BY 1, 2")
+@query(f"WITH {TOKENS}, {GRAPH}, k AS (SELECT * FROM whole WHERE kind IN ('ent', 'lem') AND pos <> 'VERB'), m AS (SELECT graph_id, max(count) AS top FROM k GROUP BY graph_id) SELECT k.graph_id, replace(text, ' ', '_') AS term, arg_max(round_even(count::DOUBLE / top * 1000, 0)::INTEGER, node_id) AS frequency FROM k JOIN m ON m.graph_id = k.graph_id GROUP BY 1, 2")
 def wordcloud(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = textgraph.token_nodes(_tokens(spark, sf_dir)).where("kind in ('ent', 'lem') and pos <> 'VERB'")
+    nodes = textgraph.whole_graph(_tokens(spark, sf_dir))[0].where("kind in ('ent', 'lem') and pos <> 'VERB'")
     return paths.term_frequencies(nodes)
 
 
 _STYLES = ", ".join(f"('{k}', '{shape}', '{color}')" for k, shape, color in paths.STYLES)
 
 
-@query(f"WITH {TOKENS}, st AS (SELECT * FROM (VALUES {_STYLES}) v(kind, shape, color)) SELECT graph_id, key, shape, color, count AS size, count::DOUBLE AS value FROM nodes JOIN st ON st.kind = nodes.kind")
+@query(f"""WITH {TOKENS}, {GRAPH}, st AS (SELECT * FROM (VALUES {_STYLES}) v(kind, shape, color)) SELECT graph_id, key, shape, color, count AS size, CASE WHEN st.kind IN ('chu', 'iri') THEN 0 ELSE count END::DOUBLE AS value,
+CASE WHEN st.kind = 'iri' THEN text ELSE key END AS title, CASE st.kind WHEN 'iri' THEN replace(key, 'http://dbpedia.org/ontology/', 'dbo:') WHEN 'dep' THEN '' ELSE text END AS name FROM all_nodes JOIN st ON st.kind = all_nodes.kind""")
 def node_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.styled(textgraph.token_nodes(_tokens(spark, sf_dir)).withColumn("weight", F.col("count").cast("double")))
+    return paths.styled(textgraph.lemma_graph(_tokens(spark, sf_dir))[0].withColumn("weight", F.col("count").cast("double")))
 
 
-@query(f"WITH {TOKENS} SELECT graph_id, src, dst, rel, kind, prob, count FROM deps")
+_EDGE_STYLES = ", ".join(f"('{k}', '{arrows}', '{color}', {width})" for k, arrows, color, width in paths.EDGE_STYLES)
+
+
+@query(f"""WITH {TOKENS}, {GRAPH}, st AS (SELECT * FROM (VALUES {_EDGE_STYLES}) v(kind, arrows, color, width)),
+r AS (SELECT *, row_number() OVER (PARTITION BY graph_id, src, dst ORDER BY CASE kind WHEN 'iri' THEN 0 WHEN 'dep' THEN 1 WHEN 'chu' THEN 2 ELSE 4 END DESC, rel DESC) AS r FROM all_edges)
+SELECT graph_id, src, dst, rel AS title, arrows, color, width::INTEGER AS width FROM r LEFT JOIN st ON st.kind = r.kind WHERE r = 1""")
+def edge_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.styled_edges(textgraph.lemma_graph(_tokens(spark, sf_dir))[1])
+
+
+_LOC = "coalesce((SELECT string_agg(l.para_id || '.' || l.sent_id || '.' || l.tok_i, ' ' ORDER BY l.para_id, l.sent_id, l.tok_i) FROM places l WHERE l.graph_id = whole.graph_id AND l.key = whole.key), '')"
+_PLACES = "places AS (SELECT graph_id, key, para_id, sent_id, tok_i FROM toks WHERE kind <> 'dep' UNION ALL SELECT graph_id, key, para_id, sent_id, start FROM fresh)"
+
+
+def _shown(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("loc", F.array_join(F.transform("loc", lambda x: F.concat_ws(".", x["para_id"], x["sent_id"], x["tok_i"])), " ")).withColumn("length", F.col("length").cast("long"))
+
+
+@query(f"WITH {TOKENS}, {GRAPH}, {_PLACES} SELECT graph_id, node_id, key, kind, pos, text, label, length::BIGINT AS length, sub_obj, count, neighbors, annotated, {_LOC} AS loc FROM whole")
+def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(textgraph.whole_graph(_tokens(spark, sf_dir))[0])
+
+
+@query(f"WITH {TOKENS}, {GRAPH}, {_PLACES} SELECT graph_id, node_id, key, kind, pos, text, label, length::BIGINT AS length, sub_obj, count, neighbors, annotated, 0.0::DOUBLE AS weight, {_LOC} AS loc FROM whole")
+def nodelink_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(nodelink.load(nodelink.dump(*textgraph.whole_graph(_tokens(spark, sf_dir))))[0])
+
+
+@query(f"WITH {TOKENS}, {GRAPH} SELECT graph_id, src, dst, rel, kind, prob, count FROM all_edges")
 def nodelink_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodelink.load(nodelink.dump(*textgraph.whole_graph(_tokens(spark, sf_dir))))[1]
+
+
+@query(f"WITH {TOKENS}, {GRAPH} SELECT graph_id, src, dst FROM class_edges")
+def nodelink_class_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodelink.class_links(nodelink.load(nodelink.dump(*textgraph.whole_graph(_tokens(spark, sf_dir))))[0])
+
+
+@query(f"WITH {TOKENS}, {GRAPH} SELECT graph_id, node_id AS id, {_IRI} AS iri, count::FLOAT AS weight, kind, key, label, text, pos, length::INTEGER AS length, count FROM whole WHERE kind IN ('ent', 'lem') AND pos <> 'VERB' UNION ALL SELECT graph_id, node_id, key, count::FLOAT, kind, key, label, text, pos, length::INTEGER, count FROM whole WHERE kind = 'iri'")
+def property_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = textgraph.whole_graph(_tokens(spark, sf_dir))
+    return exchange.property_graph(nodes.withColumn("weight", F.col("count").cast("double")), edges)[0]
+
+
+@query(f"WITH {TOKENS}, {GRAPH}, k AS (SELECT * FROM whole WHERE kind = 'iri' OR kind IN ('ent', 'lem') AND pos <> 'VERB') SELECT e.graph_id, x.node_id AS src, y.node_id AS dst, rel, prob::FLOAT AS prob, e.kind, e.count FROM all_edges e JOIN k x ON x.graph_id = e.graph_id AND x.key = src JOIN k y ON y.graph_id = e.graph_id AND y.key = dst")
+def property_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = textgraph.whole_graph(_tokens(spark, sf_dir))
+    return exchange.property_graph(nodes.withColumn("weight", F.col("count").cast("double")), edges)[1]
+
+
+@query(f"WITH {TOKENS}, {GRAPH} SELECT graph_id, key, CASE WHEN kind = 'lem' AND label IS NULL THEN '{S.W3}2002/07/owl#Thing' ELSE label END AS label, CASE kind WHEN 'dep' THEN '' WHEN 'iri' THEN label ELSE text END AS shown, CASE kind WHEN 'iri' THEN label WHEN 'lem' THEN key ELSE text END AS name, CASE WHEN kind = 'iri' THEN key WHEN kind = 'lem' AND label IS NULL THEN '{S.W3}2002/07/owl#Thing' WHEN label LIKE 'http%' THEN label END AS iri, CASE WHEN pos = 'VERB' OR kind = 'iri' THEN 0 ELSE count END::BIGINT AS stacked FROM all_nodes")
+def node_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, key, text, label = (F.col(c) for c in ("kind", "key", "text", "label"))
+    own = textgraph.lemma_graph(_tokens(spark, sf_dir))[0].withColumn("own", F.col("label"))
+    shown, name = S.display_label(kind, text, F.col("own")), S.node_name(kind, key, text, F.col("own"))
+    stacked = S.stacked_count(F.col("pos"), kind, F.col("count")).cast("long")
+    return textgraph.default_labels(own).select("graph_id", "key", "label", shown.alias("shown"), name.alias("name"), S.node_iri(kind, key, label).alias("iri"), stacked.alias("stacked"))
+
+
+@query(f"WITH {TOKENS}, {GRAPH} SELECT graph_id, src, dst, rel, kind, src || '.' || dst || '.' || replace(rel, ' ', '_') || '.' || CASE kind WHEN 'dep' THEN 0 WHEN 'chu' THEN 1 ELSE 4 END AS edge_key FROM all_edges")
+def edge_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = textgraph.lemma_graph(_tokens(spark, sf_dir))[1]
+    return edges.select("graph_id", "src", "dst", "rel", "kind", S.edge_key(F.col("src"), F.col("dst"), F.col("rel"), F.col("kind")).alias("edge_key"))
+
+
+@query(f"WITH {TOKENS}, {GRAPH} SELECT graph_id, src, dst, rel, kind, prob, count FROM chunk_edges")
+def chunk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     toks = _tokens(spark, sf_dir)
-    return nodelink.load(nodelink.dump(textgraph.token_nodes(toks), textgraph.dep_edges(toks)))[1]
+    return textgraph.chunk_overlay(toks, textgraph.token_nodes(toks))[1]
+
+
+_OFFSETS = "offs AS (SELECT graph_id, para_id, sent_id, tok_i, text, pos, key, kind, len(string_split(text, ' '))::INTEGER AS length, coalesce(sum(len(string_split(text, ' '))) OVER (PARTITION BY graph_id, para_id ORDER BY sent_id, tok_i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS first_word FROM toks)"
+
+
+@query(f"WITH {TOKENS}, {_OFFSETS} SELECT graph_id, para_id, sent_id, tok_i, length, first_word AS offset FROM offs".replace("AS offset", 'AS "offset"'))
+def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textgraph.token_offsets(_tokens(spark, sf_dir))
+
+
+@query(f"WITH {TOKENS}, {_OFFSETS} SELECT graph_id, para_id, (first_word + generate_subscripts(string_split(text, ' '), 1) - 1)::INTEGER AS word_i, unnest(string_split(text, ' ')) AS text, pos, sent_id, tok_i FROM offs")
+def unmerged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textgraph.unmerged(_tokens(spark, sf_dir))
+
+
+@query(f"WITH {TOKENS}, {_OFFSETS} SELECT graph_id, para_id, (row_number() OVER (PARTITION BY graph_id, para_id ORDER BY sent_id, tok_i) - 1)::INTEGER AS ordinal, key, length FROM offs WHERE kind = 'ent'")
+def entity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textgraph.entity_keys(_tokens(spark, sf_dir))
+
+
+@query(f"WITH {TOKENS}, {GRAPH}, {_OFFSETS} SELECT c.graph_id, c.para_id, (row_number() OVER (PARTITION BY c.graph_id, c.para_id ORDER BY c.sent_id, start) - 1)::INTEGER AS ordinal, c.key, first_word, len(string_split(c.text, ' '))::INTEGER AS words FROM chunks c JOIN offs o ON o.graph_id = c.graph_id AND o.para_id = c.para_id AND o.sent_id = c.sent_id AND o.tok_i = c.start")
+def chunk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textgraph.chunk_offsets(_tokens(spark, sf_dir))
+
+
+def _persons(nodes: DataFrame) -> DataFrame:
+    """Entities of the names of several words: a dimension as large as the texts make it."""
+    names = nodes.where("kind = 'ent' and text like '% %'").select("text").distinct()
+    return names.select(F.concat(F.lit("http://k.example/"), F.translate("text", " ", "_")).alias("iri"), F.col("text").alias("label"), F.array(F.reverse("text")).alias("aliases"))
+
+
+_LINKS = "links AS (SELECT n.graph_id, n.key, min('http://k.example/' || replace(d.text, ' ', '_')) AS iri, 1.0::DOUBLE AS prob FROM nodes n JOIN (SELECT DISTINCT text FROM nodes WHERE kind = 'ent' AND text LIKE '% %') d ON lower(d.text) = lower(n.text) WHERE n.kind = 'ent' GROUP BY n.graph_id, n.key)"
+
+
+@query(f"WITH {TOKENS}, {_LINKS} SELECT graph_id, key, iri, prob FROM links")
+def entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = textgraph.token_nodes(_tokens(spark, sf_dir))
+    return linking.link_entities(nodes, _persons(nodes)).select("graph_id", "key", "iri", "prob")
+
+
+@query(f"WITH {TOKENS}, {_LINKS} SELECT graph_id, key, text FROM nodes ANTI JOIN links ON links.graph_id = nodes.graph_id AND links.key = nodes.key WHERE kind = 'ent'")
+def unlinked_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = textgraph.token_nodes(_tokens(spark, sf_dir))
+    return linking.unlinked(nodes, linking.link_entities(nodes, _persons(nodes))).select("graph_id", "key", "text")
+
+
+@query(f"WITH {TOKENS}, {_LINKS} SELECT graph_id, key, 'second:' || iri AS iri, prob FROM links")
+def secondary_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = textgraph.token_nodes(_tokens(spark, sf_dir))
+    persons = _persons(nodes)
+    second = persons.withColumn("iri", F.concat(F.lit("second:"), "iri"))
+    return linking.link_secondary(linking.link_entities(nodes, persons), second).select("graph_id", "key", "iri", "prob")
+
+
+@query("SELECT DISTINCT 'C' || c_custkey AS iri, 'http://www.wikidata.org/entity/Q' || c_nationkey AS same FROM customer")
+def equivalents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer")
+    named = lambda pred, obj: rows.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("subj"), F.lit(pred).alias("pred"), F.concat(F.lit(obj), F.col("c_nationkey").cast("string")).alias("obj"))
+    return linking.equivalents(named("owl:sameAs", "http://www.wikidata.org/entity/Q").unionByName(named("owl:sameAs", "http://other.example/")).unionByName(named("rdfs:seeAlso", "http://www.wikidata.org/entity/Q")))
+
+
+@query(f"WITH {TRIPLES}, r AS (SELECT DISTINCT rel FROM triples) SELECT rel, CASE rel WHEN 'contains' THEN 'http://k.example/has' WHEN 'part_of' THEN 'http://k.example/within' ELSE 'rel:' || rel END AS iri FROM r")
+def relation_iris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dimension = spark.createDataFrame([("contains", "http://k.example/has", "http://k.example/broad"), ("part_of", None, "http://k.example/within"), ("placed_by", None, None)], "rel string, equivalent string, broader string")
+    return linking.resolve_relations(triples(spark, sf_dir), dimension, "rel")
+
+
+@query("SELECT n_nationkey, n_name AS head, 'loc' AS head_type, 'part of' AS rel, r_name AS tail, 'loc' AS tail_type FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT n_nationkey, n_name, 'loc', 'is a', 'NATION', 'kind' FROM nation")
+def tagged_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    said = F.concat(F.lit("<s><triplet> "), "n_name", F.lit(" <loc> "), "r_name", F.lit(" <loc> part of <loc> NATION <kind> is a</s>"))
+    return rows.select("n_nationkey", F.explode(S.parse_triplets(said)).alias("t")).select("n_nationkey", "t.*")
+
+
+@query(f"SELECT p_partkey, p_name || ' by ' || replace(p_brand, '#', '') AS plain, false AS url, true AS other_url, 'part.' || p_partkey AS key, len(p_name) - 1 AS last FROM part")
+def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("p_partkey").cast("string")
+    marked = F.concat(F.lit("**"), "p_name", F.lit("** by <b>["), "p_brand", F.lit("](http://b.example/)</b>"))
+    iri = S.entity_iri(F.concat(F.lit("part."), number))
+    return table(spark, sf_dir, "part").select("p_partkey", S.markdown_text(marked).alias("plain"), S.is_url(F.col("p_name")).alias("url"), S.is_url(F.concat(F.lit("see http://"), "p_name")).alias("other_url"), S.denormalize_iri(iri).alias("key"), S.char_span(F.lit(0), F.col("p_name"))["last"].cast("long").alias("last"))
+
+
+@query(f"WITH {TRIPLES} SELECT node, dir, string_agg(src || ' ' || rel || ' ' || dst, '; ' ORDER BY src, rel, dst) AS edges FROM seeds GROUP BY node, dir")
+def gor_source_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = gor.source_edges(triples(spark, sf_dir))
+    return found.select("node", "dir", F.array_join(F.transform("edges", lambda e: F.concat_ws(" ", e["src"], e["rel"], e["dst"])), "; ").alias("edges"))
 
 
 @query(f"WITH {TOKENS} SELECT graph_id, para_id, sent_id, tok_i, key FROM toks")

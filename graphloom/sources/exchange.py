@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import re
+import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import W3
+from ..functions.scalars import IRI_BASE, W3, denormalize_iri, entity_iri
 
 RDF = W3 + "1999/02/22-rdf-syntax-ns#"
 _TURTLE = re.compile(r'"""(.*?)"""(?:@[\w-]+|\^\^\S+)?|"((?:[^"\\]|\\.)*)"(?:@[\w-]+|\^\^[^\s;,.]+)?|<([^>]*)>|(@prefix|@base|[^\s;,."<>]*:[^\s;,"<>]*[^\s;,."<>]|[^\s;,."<>]*:|\ba\b)|([;,.])|#[^\n]*', re.S)
@@ -91,16 +96,62 @@ def bootstrap(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def write_turtle(triples: DataFrame, path: str, prefixes: dict[str, str]) -> None:
-    """One statement a line, the prefixes before each part; triples as of rdf_triples."""
-    head = "".join(f"@prefix {p}: <{iri}> .\n" for p, iri in sorted(prefixes.items()))
-    line = F.concat(F.lit("<"), "subj", F.lit("> "), "pred", F.lit(" "), "obj", F.lit(" ."))
-    spark = triples.sparkSession
-    spark.createDataFrame([(head,)], "value string").write.mode("append").text(path + "/prefixes")
-    triples.select(line.alias("value")).write.mode("append").text(path + "/statements")
+def vocabulary_nodes(nodes: DataFrame, graph_ids: DataFrame, base: str = IRI_BASE) -> DataFrame:
+    """Nodes of bootstrap() in the columns of the lemma graph, for each of graph_ids (graph_id): entities under the keys that texts give them."""
+    key = F.when(F.col("kind") == "iri", F.col("key")).otherwise(denormalize_iri(F.col("key"), base))
+    shown = nodes.select(key.alias("key"), "kind", F.when(F.col("kind") == "iri", RDF + "type").otherwise("PROPN").alias("pos"), F.when(F.col("kind") == "iri", F.coalesce("text", "label")).otherwise(F.col("label")).alias("text"), F.when(F.col("kind") == "iri", F.col("label")).otherwise(F.col("type")).alias("label"), "count", F.lit(False).alias("sub_obj"))
+    return graph_ids.select("graph_id").distinct().crossJoin(F.broadcast(shown))  # a vocabulary, given as one text
+
+
+def turtle_lines(triples: DataFrame) -> DataFrame:
+    """(graph_id, line): one statement each, of rdf_triples."""
+    return triples.select("graph_id", F.concat(F.lit("<"), "subj", F.lit("> "), "pred", F.lit(" "), "obj", F.lit(" .")).alias("line"))
+
+
+def write_turtle(triples: DataFrame, path: str, prefixes: dict[str, str], base: str = "") -> None:
+    """One statement a line; triples as of rdf_triples. The base and the prefixes come first in every file, so that each is whole."""
+    head = (f"@base <{base}> .\n" if base else "") + "".join(f"@prefix {p}: <{iri}> .\n" for p, iri in sorted(prefixes.items()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            if first and batch.num_rows:
+                first = False
+                yield pa.RecordBatch.from_arrays([pa.array([head.rstrip("\n")])], names=["value"])
+            yield batch
+
+    turtle_lines(triples).select(F.col("line").alias("value")).mapInArrow(run, "value string").write.mode("append").text(path)
+
+
+def property_graph(nodes: DataFrame, edges: DataFrame, base: str = IRI_BASE) -> tuple[DataFrame, DataFrame]:
+    """Rows of a property graph's files: nodes (id, iri, weight, kind, key, label, text, pos, length, count) of those with an IRI, edges (src, dst, rel, prob, kind, count) between such, by id.
+
+    nodes need node_id, length and weight.
+    """
+    keep = (F.col("kind") == "iri") | (F.col("kind").isin("ent", "lem") & (F.col("pos") != "VERB"))
+    iri = F.when(F.col("kind") == "iri", F.col("key")).otherwise(entity_iri(F.col("key"), base))
+    kept = nodes.where(keep).select("graph_id", F.col("node_id").alias("id"), iri.alias("iri"), F.col("weight").cast("float").alias("weight"), "kind", "key", "label", "text", "pos", F.col("length").cast("int").alias("length"), "count")
+    ends = kept.select("graph_id", "key", "id")
+    met = edges.join(ends.toDF("graph_id", "src", "from"), ["graph_id", "src"]).join(ends.toDF("graph_id", "dst", "to"), ["graph_id", "dst"])
+    return kept, met.select("graph_id", F.col("from").alias("src"), F.col("to").alias("dst"), "rel", F.col("prob").cast("float").alias("prob"), "kind", "count")
 
 
 def write_property_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """nodes and edges of exported() as CSV without header."""
+    """nodes and edges of exported() or property_graph() as CSV without header, a folder each."""
     nodes.write.csv(path + "/nodes", header=False)
     edges.write.csv(path + "/edges", header=False)
+
+
+def zip_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, archive): nodes.csv and edges.csv of property_graph() of each graph, without header, as a ZIP file."""
+
+    def packed(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for name, table, order in (("nodes.csv", left, "id"), ("edges.csv", right, "src")):
+                rows = io.StringIO()
+                csv.writer(rows, lineterminator="\n").writerows(zip(*(c.to_pylist() for c in table.drop(["graph_id"]).sort_by(order).columns)))
+                archive.writestr(zipfile.ZipInfo(name), rows.getvalue())
+        return pa.table({"graph_id": pa.array([key[0].as_py()], pa.int64()), "archive": pa.array([out.getvalue()], pa.binary())})
+
+    return nodes.groupBy("graph_id").cogroup(edges.toDF(*edges.columns).groupBy("graph_id")).applyInArrow(packed, "graph_id long, archive binary")

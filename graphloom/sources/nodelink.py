@@ -5,26 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODE = "key string, kind string, pos string, text string, label string, count bigint, sub_obj boolean"
-LINK = "source bigint, target bigint, rel string, kind string, prob double, count bigint"
-SCHEMA = "struct<nodes:array<struct<" + ",".join(f.strip().replace(" ", ":", 1) for f in NODE.split(",")) + ">>,links:array<struct<" + ",".join(f.strip().replace(" ", ":", 1) for f in LINK.split(",")) + ">>>"
+from ..functions import scalars as S
+from ..operators.textgraph import LOC
+
+#: Fields of a node and of a link in the JSON.
+NODE = "lemma:string,count:bigint,weight:double,kind:string,label:string,name:string,subobj:boolean,pos:string,loc:" + LOC + ",length:int,hood:bigint,anno:boolean,iri:string"
+LINK = "kind:string,title:string,lemma:string,weight:double,prob:double,count:bigint,source:bigint,target:bigint"
+SCHEMA = f"struct<directed:boolean,multigraph:boolean,nodes:array<struct<{NODE}>>,links:array<struct<{LINK}>>>"
+#: What nodes without these columns count as.
+DEFAULTS = {"weight": "0.0D", "length": "size(split(text, ' '))", "loc": f"cast(array() as {LOC})", "neighbors": "0L", "annotated": "kind = 'ent' and label is not null", "node_id": "cast(null as bigint)"}
 
 
 def dump(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, json): nodes in order of their keys, links by the positions of their ends."""
-    fields = [f.split()[0] for f in NODE.split(", ")]
-    listed = nodes.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("nodes"))
+    """(graph_id, json): nodes in order of their ids (of their keys, where they have none), links by the positions of their ends.
+
+    label is what a node is drawn with, iri the IRI of a class or of what a node is labelled with; weight of a link is its count.
+    """
+    full = nodes.selectExpr("*", *(f"{sql} as {c}" for c, sql in DEFAULTS.items() if c not in nodes.columns))
+    kind, key, text, label = (F.col(c) for c in ("kind", "key", "text", "label"))
+    shown = F.when(kind == "iri", S.normalize_prefix(label)).otherwise(S.display_label(kind, text, label))
+    fields = [key.alias("lemma"), "count", "weight", "kind", shown.alias("label"), text.alias("name"), F.col("sub_obj").alias("subobj"), "pos", "loc", "length", F.col("neighbors").alias("hood"), F.col("annotated").alias("anno"), S.node_iri(kind, key, label).alias("iri")]
+    listed = full.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "key", F.struct(*fields).alias("n")))).alias("nodes"))
     place = listed.select("graph_id", F.posexplode("nodes").alias("at", "n")).select("graph_id", F.col("at").cast("long").alias("at"), F.col("n.key").alias("key"))
     ends = edges.join(place.toDF("graph_id", "source", "src"), ["graph_id", "src"]).join(place.toDF("graph_id", "target", "dst"), ["graph_id", "dst"])
-    links = ends.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct(*(f.split()[0] for f in LINK.split(", "))))).alias("links"))
-    both = listed.join(links, "graph_id", "left").withColumn("links", F.coalesce("links", F.from_json(F.lit("[]"), SCHEMA.split("links:")[1][:-1])))
-    return both.select("graph_id", F.to_json(F.struct("nodes", "links")).alias("json"))
+    link = F.struct("kind", F.col("rel").alias("title"), S.edge_key(F.col("source"), F.col("target"), F.col("rel"), F.col("kind")).alias("lemma"), F.col("count").cast("double").alias("weight"), "prob", "count", "source", "target")
+    links = ends.groupBy("graph_id").agg(F.array_sort(F.collect_list(link)).alias("links"))
+    both = listed.select("graph_id", F.transform("nodes", lambda x: x["n"]).alias("nodes")).join(links, "graph_id", "left")
+    both = both.withColumn("links", F.coalesce("links", F.from_json(F.lit("[]"), f"array<struct<{LINK}>>")))
+    return both.select("graph_id", F.to_json(F.struct(F.lit(True).alias("directed"), F.lit(True).alias("multigraph"), "nodes", "links")).alias("json"))
 
 
 def load(dumped: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of dump()."""
+    """Nodes and edges of dump(). The label of an entity is its IRI again, that of a class the one it is drawn with."""
     parsed = dumped.select("graph_id", F.from_json("json", SCHEMA).alias("g"))
-    nodes = parsed.select("graph_id", F.explode("g.nodes").alias("n")).select("graph_id", "n.*")
+    each = parsed.select("graph_id", F.posexplode("g.nodes").alias("at", "n"))
+    label = F.when(F.col("n.kind") == "iri", F.col("n.label")).otherwise(F.col("n.iri"))
+    nodes = each.select("graph_id", F.col("at").cast("long").alias("node_id"), F.col("n.lemma").alias("key"), "n.kind", "n.pos", F.col("n.name").alias("text"), label.alias("label"), "n.count", F.col("n.subobj").alias("sub_obj"), "n.weight", "n.length", "n.loc", F.col("n.hood").alias("neighbors"), F.col("n.anno").alias("annotated"))
     edges = parsed.select("graph_id", F.col("g.nodes").alias("nodes"), F.explode("g.links").alias("l"))
-    end = lambda side: F.get("nodes", F.col(f"l.{side}").cast("int"))["key"]
-    return nodes, edges.select("graph_id", end("source").alias("src"), end("target").alias("dst"), "l.rel", "l.kind", "l.prob", "l.count")
+    end = lambda side: F.get("nodes", F.col(f"l.{side}").cast("int"))["lemma"]
+    return nodes, edges.select("graph_id", end("source").alias("src"), end("target").alias("dst"), F.col("l.title").alias("rel"), "l.kind", "l.prob", "l.count")
+
+
+def class_links(nodes: DataFrame) -> DataFrame:
+    """Edges from the entities of loaded nodes to the classes they are labelled with, where a graph has these as nodes."""
+    classes = nodes.where("kind = 'iri'").select("graph_id", F.col("key").alias("dst"))
+    ents = nodes.where("kind = 'ent' and label is not null").select("graph_id", F.col("key").alias("src"), F.col("label").alias("dst"))
+    return ents.join(classes, ["graph_id", "dst"]).select("graph_id", "src", "dst")

@@ -34,6 +34,7 @@ def test_nodelink_round_trip(graph):
     again = nodelink.load(nodelink.dump(nodes, edges))
     for was, now in zip((nodes, edges), again):
         columns = sorted(was.columns)
+        assert set(columns) <= set(now.columns)
         assert sorted(map(str, was.select(*columns).collect())) == sorted(map(str, now.select(*columns).collect()))
 
 
@@ -76,9 +77,11 @@ def test_turtle(spark):
 def test_exports(spark, graph, tmp_path):
     _, nodes, edges = graph
     rows = textgraph.rdf_triples(nodes, edges)
-    exchange.write_turtle(rows, str(tmp_path / "ttl"), {"skos": "http://s#"})
-    lines = [r.value for r in spark.read.text(str(tmp_path / "ttl/statements")).collect()]
-    assert len(lines) == rows.count() and all(x.endswith(" .") for x in lines)
+    exchange.write_turtle(rows, str(tmp_path / "ttl"), {"skos": "http://s#"}, "http://b.example/")
+    lines = [r.value for r in spark.read.text(str(tmp_path / "ttl")).collect()]
+    assert len([x for x in lines if x[0] != "@"]) == rows.count() and all(x.endswith(" .") for x in lines)
+    whole = (p.read_text() for p in (tmp_path / "ttl").glob("*.txt"))
+    assert sum(len(exchange.turtle_triples(x)) for x in whole) == rows.count()
     out = textgraph.exported(nodes, edges)
     exchange.write_property_graph(*out, str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv/nodes")).count() == out[0].count()
