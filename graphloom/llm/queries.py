@@ -54,7 +54,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest neighbours of every embedding."""
+    """The ten nearest neighbours, among all embeddings, of those whose id is divisible by 50."""
     found = forest.neighbours(_table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "neighbour_id", "rank", F.round("similarity", 4).alias("similarity"))
 
