@@ -2,11 +2,11 @@
 
 Fingerprint: SimHash of a document's distinct words, 5 sections of 23 bits.
 Anchors: the 4096 codewords of the binary Golay code, which covers 23 bits with
-radius 3 and no overlap, so every section has one home anchor. A fingerprint is
-also copied to every anchor within radius + 3 of a section; two sections that
-differ in at most 3 bits therefore meet at the home anchor of either. Of 5
+radius 3 and no overlap. Of two sections that differ in at most 3 bits, with one of the values at 1 bit from the
+first and 2 from the second, the home anchor of that value is within 4 of the first and 5 of the second: one fingerprint is copied to every anchor
+within radius + NEAR of a section, the other to every one within radius + FAR, and they meet. Of 5
 sections with at most 19 differing bits in all, one differs in at most 3: all
-pairs within MAX_DISTANCE are found. Sections are searched one after the other.
+pairs within MAX_DISTANCE are found. Sections are searched one after the other, anchors in parallel.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import connected, small_or_shuffled, unused, whole_id, written
-from .textcore import distinct_in_rows, row_slices, segments, simhash, words
+from .textcore import distinct_in_rows, give_back, row_slices, segments, simhash, words
 
-SECTIONS, SECTION_BITS, RADIUS, EXTRA = 5, 23, 3, 3
-MAX_DISTANCE = SECTIONS * (EXTRA + 1) - 1
+SECTIONS, SECTION_BITS, RADIUS, NEAR, FAR = 5, 23, 3, 1, 2
+MAX_DISTANCE = SECTIONS * (NEAR + FAR + 1) - 1
+#: Fingerprints near an anchor, and far from it, that one task compares; an anchor with more is joined in parallel. Pairs compared at once.
+MOST_NEAR, MOST_FAR, AT_ONCE = 1 << 17, 1 << 21, 1 << 18
 _GENERATOR = 0b101011100011
 
 
@@ -37,31 +39,27 @@ def _remainders() -> list[np.ndarray]:
     return tables
 
 
-def _covering() -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Remainder tables; by remainder, the pattern to the home anchor; patterns to all anchors in reach, and their offsets."""
+def _covering(extra: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Remainder tables; patterns to all anchors within RADIUS + extra, and their offsets by remainder."""
     tables = _remainders()
     remainder = lambda v: tables[0][v & 255] ^ tables[1][(v >> 8) & 255] ^ tables[2][v >> 16]
-    bits = [1 << i for i in range(SECTION_BITS)]
+    bits = np.array([1 << i for i in range(SECTION_BITS)])
     patterns = [np.zeros(1, dtype=np.int64)]
-    for _ in range(RADIUS + EXTRA):
-        patterns.append(np.unique((patterns[-1][:, None] ^ np.array(bits)[None, :]).ravel()))
+    for _ in range(RADIUS + extra):
+        patterns.append(np.unique((patterns[-1][:, None] ^ bits[None, :]).ravel()))
         patterns[-1] = patterns[-1][np.bitwise_count(patterns[-1]) == len(patterns) - 1]
-    home = np.zeros(2048, dtype=np.int64)
-    near = np.concatenate(patterns[: RADIUS + 1])
-    home[remainder(near)] = near
     reach = np.concatenate(patterns)
-    order = np.argsort(remainder(reach), kind="stable")
-    reach = reach[order]
-    return tables, home, reach, np.searchsorted(remainder(reach), np.arange(2049))
+    reach = reach[np.argsort(remainder(reach), kind="stable")]
+    return tables, reach, np.searchsorted(remainder(reach), np.arange(2049))
 
 
-def section_anchors(section: np.ndarray, tables, home, reach, offsets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each 23-bit value its home anchor, and all anchors in reach, flat with offsets."""
+def section_anchors(section: np.ndarray, tables, reach, offsets) -> tuple[np.ndarray, np.ndarray]:
+    """For each 23-bit value all anchors in reach, flat with offsets."""
     rest = tables[0][section & 255] ^ tables[1][(section >> 8) & 255] ^ tables[2][section >> 16]
     count = offsets[rest + 1] - offsets[rest]
     ends = np.cumsum(count)
     flat = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count) + np.repeat(offsets[rest], count)
-    return section ^ home[rest], np.repeat(section, count) ^ reach[flat], np.concatenate([[0], ends])
+    return np.repeat(section, count) ^ reach[flat], np.concatenate([[0], ends])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -92,36 +90,88 @@ def _sections(f1: np.ndarray, f2: np.ndarray) -> list[np.ndarray]:
     return [f1 & low, (f1 >> 23) & low, f2 & low, (f2 >> 23) & low, ((f1 >> 46) & 0x3FFFF) | (((f2 >> 46) & 31) << 18)]
 
 
-def placed(prints: DataFrame, section: int, everywhere: bool) -> DataFrame:
-    """(at, node, f1, f2): fingerprints at the home anchors of a section, or at every anchor in reach."""
+def placed(prints: DataFrame, section: int, extra: int) -> DataFrame:
+    """(at, node, f1, f2): fingerprints at every anchor within RADIUS + extra of a section."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        covering = _covering()
+        covering = _covering(extra)
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 4096)
+                part = batch.slice(start, 2048)
                 f1, f2 = (part.column(c).to_numpy() for c in ("f1", "f2"))
-                home, reach, offsets = section_anchors(_sections(f1, f2)[section], *covering)
-                pick = pa.array(np.repeat(np.arange(len(f1)), np.diff(offsets)) if everywhere else np.arange(len(f1)))
-                at = reach if everywhere else home
+                at, offsets = section_anchors(_sections(f1, f2)[section], *covering)
+                pick = pa.array(np.repeat(np.arange(len(f1)), np.diff(offsets)))
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(part.column(c).take(pick) for c in ("node", "f1", "f2"))], names=["at", "node", "f1", "f2"])
+        give_back()
 
     return prints.select("node", "f1", "f2").mapInArrow(run, "at int, node long, f1 long, f2 long")
 
 
+def _compared(first: np.ndarray, second: np.ndarray, max_distance: int) -> Iterator[np.ndarray]:
+    """Pairs of nodes, the lesser first, of rows (node, f1, f2) of first and second that differ in at most max_distance bits."""
+    step = max(1, AT_ONCE // max(1, len(second)))
+    for start in range(0, len(first), step):
+        x = first[start : start + step]
+        apart = np.bitwise_count(x[:, None, 1] ^ second[None, :, 1]) + np.bitwise_count(x[:, None, 2] ^ second[None, :, 2])
+        i, j = np.nonzero(apart <= max_distance)
+        pairs = np.stack([x[i, 0], second[j, 0]], axis=1).view(np.int64)
+        pairs.sort(axis=1)
+        yield pairs[pairs[:, 0] != pairs[:, 1]]
+
+
 def near_pairs(prints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """Distinct (a, b), a < b: nodes whose fingerprints meet at an anchor and differ in at most max_distance bits.
 
-    The pairs of each section are written, so that the copies of one section only are about at a time.
+    The fingerprints near an anchor come sorted before those far from it, which go by one batch at a time. The pairs of each section are written, so
+    that the copies of one section only are about at a time.
     """
-    apart = F.bit_count(F.col("x.f1").bitwiseXOR(F.col("y.f1"))) + F.bit_count(F.col("x.f2").bitwiseXOR(F.col("y.f2")))
-    found = None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, near, far, hot = None, [], 0, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, is_far = batch.column("at").to_numpy(), batch.column("far").to_numpy(zero_copy_only=False)
+            values = np.stack([batch.column(c).to_numpy() for c in ("node", "f1", "f2")], axis=1).view(np.uint64)
+            found, crowded = [], []
+            edges = np.concatenate([[0], np.flatnonzero((at[1:] != at[:-1]) | (is_far[1:] != is_far[:-1])) + 1, [len(at)]])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if at[a] != current:
+                    current, near, far, hot = at[a], [], 0, False
+                if not hot and is_far[a]:
+                    far += b - a
+                    for part in near:
+                        found += _compared(part, values[a:b], max_distance)
+                elif not hot:
+                    near.append(values[a:b].copy())
+                if not hot and (sum(map(len, near)) > MOST_NEAR or far > MOST_FAR):
+                    hot, near = True, []
+                    crowded.append(int(current))
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            columns = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int32())]
+            if crowded:
+                columns = [pa.concat_arrays([c, more]) for c, more in zip(columns, (pa.nulls(len(crowded), pa.int64()), pa.nulls(len(crowded), pa.int64()), pa.array(crowded, pa.int32())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "hot"])
+        give_back()
+
+    every = None
     for section in range(SECTIONS):
-        x, y = (placed(prints, section, everywhere).alias(name) for name, everywhere in (("x", False), ("y", True)))
-        met = x.join(y, (F.col("x.at") == F.col("y.at")) & (apart <= max_distance) & (F.col("x.node") != F.col("y.node")))
-        pairs = written(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "met")
-        found = pairs if found is None else found.unionByName(pairs)
-    return found.distinct()
+        near, far = placed(prints, section, NEAR), placed(prints, section, FAR)
+        both = near.withColumn("far", F.lit(False)).unionByName(far.withColumn("far", F.lit(True))).repartition("at").sortWithinPartitions("at", "far")
+        found = written(both.select("at", "far", "node", "f1", "f2").mapInArrow(run, "a long, b long, hot int").distinct(), "met")
+        pairs = found.where("a is not null").select("a", "b")
+        if (hot := found.where("hot is not null").select(F.col("hot").alias("at"))).head(1):
+            pairs = pairs.unionByName(_joined(near.join(hot, "at"), far.join(hot, "at"), max_distance))
+        every = pairs if every is None else every.unionByName(pairs)
+    return every.distinct()
+
+
+def _joined(near: DataFrame, far: DataFrame, max_distance: int) -> DataFrame:
+    """(a, b), a < b: as near_pairs, for anchors of any size, by a join that the engine splits where it is skewed."""
+    x, y = near.alias("x"), far.alias("y")
+    apart = F.bit_count(F.col("x.f1").bitwiseXOR(F.col("y.f1"))) + F.bit_count(F.col("x.f2").bitwiseXOR(F.col("y.f2")))
+    met = x.join(y, (F.col("x.at") == F.col("y.at")) & (apart <= max_distance) & (F.col("x.node") != F.col("y.node")))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:

@@ -7,6 +7,7 @@ about ``SLICE_BYTES`` whole rows, so memory follows the longest row, not the bat
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _PRIME = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _IS_WORD = np.zeros(256, dtype=bool)
@@ -59,6 +61,13 @@ def text_bytes(column: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return memory that nothing uses to the system: a worker process stays for the next task, which may be another operator's."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def row_slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of whole rows of about limit bytes of text."""
     if not batch.num_rows:

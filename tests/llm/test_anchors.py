@@ -23,16 +23,18 @@ def docs(spark):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def test_anchors_cover():
-    tables, home, reach, offsets = anchors._covering()
-    value = np.random.default_rng(0).integers(0, 1 << 23, 500)
-    homes, flat, at = anchors.section_anchors(value, tables, home, reach, offsets)
-    code = set(homes.tolist())
-    assert np.bitwise_count(value ^ homes).max() <= anchors.RADIUS
-    for i in range(500):
-        own = set(flat[at[i] : at[i + 1]].tolist())
-        assert all(bin(value[i] ^ a).count("1") <= anchors.RADIUS + anchors.EXTRA for a in own)
-        assert {c for c in code if bin(value[i] ^ c).count("1") <= anchors.RADIUS + anchors.EXTRA} <= own
+@pytest.mark.parametrize("extra", [anchors.NEAR, anchors.FAR])
+def test_anchors_cover(extra):
+    covering = anchors._covering(extra)
+    value = np.random.default_rng(0).integers(0, 1 << 23, 300)
+    flat, at = anchors.section_anchors(value, *covering)
+    code = np.unique(anchors.section_anchors(np.arange(0, 1 << 23, 97), *anchors._covering(0))[0])
+    for i in range(300):
+        own = flat[at[i] : at[i + 1]]
+        assert len(set(own.tolist())) == len(own) and np.bitwise_count(value[i] ^ own).max() <= anchors.RADIUS + extra
+        near = code[np.bitwise_count(value[i] ^ code) <= anchors.RADIUS + extra]
+        assert set(near.tolist()) == set(own.tolist())
+    assert len(code) == 4096
 
 
 def brute(prints, limit):
@@ -44,7 +46,7 @@ def brute(prints, limit):
     return pairs
 
 
-def test_pairs_against_brute_force(spark):
+def test_pairs_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = []
     for base in range(150):
@@ -57,6 +59,8 @@ def test_pairs_against_brute_force(spark):
             rows.append((base * 3 + copy, f1 - (1 << 64) if f1 >> 63 else f1, f2))
     frame = spark.createDataFrame(rows, "node long, f1 long, f2 long")
     found = {tuple(r) for r in anchors.near_pairs(frame).collect()}
+    monkeypatch.setattr(anchors, "MOST_FAR", 0)  # all anchors are joined
+    assert {tuple(r) for r in anchors.near_pairs(frame).collect()} == found
     want = brute(rows, anchors.MAX_DISTANCE)
     assert found == want and len(want) > len(brute(rows, 14)) > 50
 
