@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from graphloom.plans import queries as plans
 
-HEADLINE = ("gor_affinity", "gor_pair_counts", "triples_distinct", "stripe", "text_tokens", "node_upsert")
+HEADLINE = ("gor_affinity", "gor_pair_counts", "triples_distinct", "stripe", "text_tokens", "node_upsert", "edge_upsert", "inferred_edges", "wordcloud")
 
 
 def main() -> None:

@@ -233,15 +233,12 @@ def export_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VERBS = """
-backwards AS (SELECT *, min(CASE WHEN pos = 'VERB' THEN tok_i END) OVER b AS v, min(CASE WHEN kind = 'ent' THEN tok_i END) OVER b AS e
-  FROM toks WINDOW b AS (PARTITION BY graph_id, para_id, sent_id ORDER BY tok_i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-said AS (SELECT x.graph_id, x.para_id, x.sent_id, x.text AS head, v.lemma AS rel, e.text AS tail, 1 - 0.002::DOUBLE * (x.e - x.tok_i) AS prob FROM backwards x
-  JOIN toks v ON v.graph_id = x.graph_id AND v.para_id = x.para_id AND v.sent_id = x.sent_id AND v.tok_i = x.v JOIN toks e ON e.graph_id = x.graph_id AND e.para_id = x.para_id AND e.sent_id = x.sent_id AND e.tok_i = x.e
-  WHERE x.kind = 'ent' AND x.v < x.e),
-lasts AS (SELECT graph_id, para_id, sent_id, text, arg_max(key, tok_i) AS key FROM toks GROUP BY graph_id, para_id, sent_id, text),
-infs AS (SELECT s.graph_id, h.key AS src, t.key AS dst, 'rel:' || s.rel AS rel, 'inf' AS kind, max(s.prob) AS prob, count(*) AS count FROM said s
-  JOIN lasts h ON h.graph_id = s.graph_id AND h.para_id = s.para_id AND h.sent_id = s.sent_id AND h.text = s.head
-  JOIN lasts t ON t.graph_id = s.graph_id AND t.para_id = s.para_id AND t.sent_id = s.sent_id AND t.text = s.tail WHERE s.prob >= 0.9 AND h.key <> t.key GROUP BY s.graph_id, h.key, t.key, s.rel)
+named AS (SELECT *, arg_max(key, tok_i) OVER (PARTITION BY graph_id, para_id, sent_id, text) AS last_key FROM toks),
+backwards AS (SELECT *, min(CASE WHEN pos = 'VERB' THEN tok_i END) OVER b AS v, arg_min(lemma, CASE WHEN pos = 'VERB' THEN tok_i END) OVER b AS verb,
+  min(CASE WHEN kind = 'ent' THEN tok_i END) OVER b AS e, arg_min(text, CASE WHEN kind = 'ent' THEN tok_i END) OVER b AS next_text, arg_min(last_key, CASE WHEN kind = 'ent' THEN tok_i END) OVER b AS next_key
+  FROM named WINDOW b AS (PARTITION BY graph_id, para_id, sent_id ORDER BY tok_i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+said AS (SELECT graph_id, para_id, sent_id, text AS head, verb AS rel, next_text AS tail, 1 - 0.002::DOUBLE * (e - tok_i) AS prob, last_key AS src, next_key AS dst FROM backwards WHERE kind = 'ent' AND v < e),
+infs AS MATERIALIZED (SELECT graph_id, src, dst, 'rel:' || rel AS rel, 'inf' AS kind, max(prob) AS prob, count(*) AS count FROM said WHERE prob >= 0.9 AND src <> dst GROUP BY graph_id, src, dst, rel)
 """
 
 
@@ -261,7 +258,7 @@ def inferred_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _inferred(spark, _tokens(spark, sf_dir)).withColumn("prob", F.round("prob", 9))
 
 
-@query(f"WITH {TOKENS}, {VERBS} SELECT infs.graph_id, x.text AS src, y.text AS dst, rel, round(prob, 9) AS weight FROM infs JOIN nodes x ON x.graph_id = infs.graph_id AND x.key = src JOIN nodes y ON y.graph_id = infs.graph_id AND y.key = dst")
+@query(f"WITH {TOKENS}, {VERBS}, one AS MATERIALIZED (SELECT infs.*, x.text AS head FROM infs JOIN nodes x ON x.graph_id = infs.graph_id AND x.key = src) SELECT one.graph_id, head AS src, y.text AS dst, rel, round(prob, 9) AS weight FROM one JOIN nodes y ON y.graph_id = one.graph_id AND y.key = dst")
 def inferred_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     toks = _tokens(spark, sf_dir)
     return textgraph.inferred_table(textgraph.token_nodes(toks), _inferred(spark, toks)).withColumn("weight", F.round("weight", 9))
@@ -398,7 +395,7 @@ def property_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchange.property_graph(nodes.withColumn("weight", F.col("count").cast("double")), edges)[0]
 
 
-@query(f"WITH {TOKENS}, {GRAPH}, k AS (SELECT * FROM whole WHERE kind = 'iri' OR kind IN ('ent', 'lem') AND pos <> 'VERB') SELECT e.graph_id, x.node_id AS src, y.node_id AS dst, rel, prob::FLOAT AS prob, e.kind, e.count FROM all_edges e JOIN k x ON x.graph_id = e.graph_id AND x.key = src JOIN k y ON y.graph_id = e.graph_id AND y.key = dst")
+@query(f"WITH {TOKENS}, {GRAPH}, k AS (SELECT * FROM whole WHERE kind = 'iri' OR kind IN ('ent', 'lem') AND pos <> 'VERB'), one AS MATERIALIZED (SELECT e.*, x.node_id AS head FROM all_edges e JOIN k x ON x.graph_id = e.graph_id AND x.key = src) SELECT one.graph_id, head AS src, y.node_id AS dst, rel, prob::FLOAT AS prob, one.kind, one.count FROM one JOIN k y ON y.graph_id = one.graph_id AND y.key = dst")
 def property_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = textgraph.whole_graph(_tokens(spark, sf_dir))
     return exchange.property_graph(nodes.withColumn("weight", F.col("count").cast("double")), edges)[1]
