@@ -6,11 +6,16 @@ radius 3 and no overlap. Of two sections that differ in at most 3 bits, with one
 first and 2 from the second, the home anchor of that value is within 4 of the first and 5 of the second: one fingerprint is copied to every anchor
 within radius + NEAR of a section, the other to every one within radius + FAR, and they meet. Of 5
 sections with at most 19 differing bits in all, one differs in at most 3: all
-pairs within MAX_DISTANCE are found. Sections are searched one after the other, anchors in parallel.
+pairs within MAX_DISTANCE are found (``near_pairs``). Sections are searched one after the other, anchors in parallel.
+
+Of the fingerprints that meet at an anchor, under one in a hundred differ in at most 3 bits there. ``linked``, for groups, compares
+only those: fingerprints go in blocks, every pair of blocks to one task, which looks up the values of a section at so few bits from each
+other; the task returns one link to a root for each fingerprint in a pair, in place of the pairs.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +31,8 @@ MAX_DISTANCE = SECTIONS * (NEAR + FAR + 1) - 1
 #: Fingerprints near an anchor, and far from it, that one task compares; an anchor with more is joined in parallel. Pairs compared at once.
 MOST_NEAR, MOST_FAR, AT_ONCE = 1 << 17, 1 << 21, 1 << 18
 _GENERATOR = 0b101011100011
+#: Fingerprints of a block at most, and blocks at least for as many; bits that may be flipped in the index; matches compared, and pairs kept, at once.
+BLOCK, BLOCKS, FLIPPED, MATCHES, KEPT = 1 << 18, 5, 12, 1 << 20, 1 << 22
 
 
 def _remainders() -> list[np.ndarray]:
@@ -174,6 +181,104 @@ def _joined(near: DataFrame, far: DataFrame, max_distance: int) -> DataFrame:
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
+def _flips() -> tuple[np.ndarray, np.ndarray]:
+    """Patterns of the index (one of FLIPPED bits or none) and of the search: any of at most RADIUS bits is one of the former with one of the latter."""
+    bits = [1 << k for k in range(SECTION_BITS)]
+    few = [sum(c) for n in range(RADIUS) for c in itertools.combinations(bits, n)]
+    return np.array([0, *bits[:FLIPPED]], np.int32), np.array(few + [sum(c) for c in itertools.combinations(bits[FLIPPED:], RADIUS)], np.int32)
+
+
+def _rooted(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For nodes 0..n-1 the least of those that the pairs (a, b) connect them with."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def _section_pairs(first: np.ndarray, second: np.ndarray, section: int, max_distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in first and second, (rows, 2) fingerprints, of pairs that differ in at most RADIUS bits of a section and max_distance in all; some come more than once."""
+    stored, searched = _flips()
+    values = [_sections(x[:, 0].view(np.int64), x[:, 1].view(np.int64))[section].astype(np.int32) for x in (first, second)]
+    # in the order of the values, what is looked up one after the other is near in memory
+    orders = [np.argsort(v) for v in values]
+    values, first, second = [v[o] for v, o in zip(values, orders)], first[orders[0]], second[orders[1]]
+    at = (values[0][:, None] ^ stored[None, :]).astype(np.int64) << 32 | np.arange(len(first))[:, None]
+    at = np.sort(at.ravel())
+    place = (at & 0xFFFFFFFF).astype(np.int32)
+    offsets = np.zeros((1 << SECTION_BITS) + 1, np.int32)
+    np.cumsum(np.bincount(at >> 32, minlength=1 << SECTION_BITS), out=offsets[1:])
+    del at
+    some = offsets[1:] > offsets[:-1]
+    x, y = ([np.ascontiguousarray(side[:, k]) for k in (0, 1)] for side in (first, second))
+    word = 1 if section < 2 else 0  # the one with no bit of the section, or few, is compared first
+    step = max(1, MATCHES // len(searched))
+    for start in range(0, len(second), step):
+        key = (searched[:, None] ^ values[1][None, start : start + step]).ravel()
+        hit = np.flatnonzero(some[key])
+        key, probe = key[hit], start + hit % min(step, len(second) - start)
+        low = offsets[key]
+        count = offsets[key + 1] - low
+        ends = np.cumsum(count, dtype=np.int64)
+        edges = np.unique([0, *np.searchsorted(ends, np.arange(MATCHES, int(ends[-1]) if len(ends) else 0, MATCHES)).tolist(), len(key)])
+        for u, v in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            n = count[u:v]
+            i = place[np.arange(n.sum()) + np.repeat(low[u:v] - (np.cumsum(n) - n), n)]
+            j = np.repeat(probe[u:v], n)
+            apart = np.bitwise_count(x[word][i] ^ y[word][j])
+            left = np.flatnonzero(apart <= max_distance)
+            i, j = i[left], j[left]
+            left = apart[left] + np.bitwise_count(x[1 - word][i] ^ y[1 - word][j]) <= max_distance
+            yield orders[0][i[left]], orders[1][j[left]]
+
+
+def linked(prints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """(a, b) of nodes of prints (node, f1, f2): what they connect is what the pairs within max_distance, at most MAX_DISTANCE, connect."""
+    rows = prints.count()
+    blocks = max(-(-rows // BLOCK), min(BLOCKS, 1 + rows // 1000))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [batch for batch in batches if batch.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts).combine_chunks()
+        del parts
+        later = table.column("later").to_numpy()
+        order = np.argsort(later, kind="stable")
+        node = table.column("node").to_numpy()[order]
+        both = np.stack([table.column(c).to_numpy()[order] for c in ("f1", "f2")], axis=1).view(np.uint64)
+        n = len(later) - int(later.sum())
+        # a block with itself, or the first block with the second
+        second, base = (both, 0) if n == len(both) else (both[n:], n)
+        a, b, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for section in range(SECTIONS):
+            for i, j in _section_pairs(both[:n], second, section, max_distance):
+                a.append(i)
+                b.append(j + base)
+                size += len(i)
+                if size > KEPT:
+                    root = _rooted(np.concatenate(a), np.concatenate(b), len(node))
+                    i = np.flatnonzero(root != np.arange(len(node)))
+                    a, b, size = [i], [root[i]], 0
+        root = _rooted(np.concatenate(a), np.concatenate(b), len(node))
+        i = np.flatnonzero(root != np.arange(len(node)))
+        yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[root[i]])], names=["a", "b"])
+        del table, both, second
+        give_back()
+
+    own, other = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    copies = prints.select("node", "f1", "f2", own.alias("own"), other.alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    group = (low * (2 * blocks + 1 - low) / 2).cast("int") + high - low
+    copies = copies.select(group.alias("group"), (F.col("own") > F.col("other")).cast("int").alias("later"), "node", "f1", "f2")
+    return copies.repartitionById(blocks * (blocks + 1) // 2, F.col("group")).select("later", "node", "f1", "f2").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(row, doc_id, group_id, keep) for every row of docs (doc_id, text; other columns are ignored).
 
@@ -186,7 +291,8 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFr
     prints = written(fingerprints(docs), "prints")
     usable = prints.where("f1 is not null and doc_id is not null")
     distinct = written(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("node")), "distinct")
-    roots = written(connected(near_pairs(distinct, max_distance)), "roots")
+    links = linked(distinct, max_distance) if max_distance <= MAX_DISTANCE else near_pairs(distinct, max_distance)
+    roots = written(connected(links), "roots")
     by_print = distinct.join(small_or_shuffled(roots), "node", "left").withColumn("group_id", F.coalesce("root", "node")).select("f1", "f2", "group_id")
     grouped = usable.join(by_print, ["f1", "f2"]).groupBy("row", "doc_id").agg(F.min("group_id").alias("group_id"))
     # fingerprints of one doc_id with unequal texts, and their groups, are one

@@ -65,6 +65,41 @@ def test_pairs_against_brute_force(spark, monkeypatch):
     assert found == want and len(want) > len(brute(rows, 14)) > 50
 
 
+def components(nodes, pairs):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 97}, {"BLOCK": 200, "MATCHES": 64, "KEPT": 5}])
+def test_links_connect_what_all_pairs_do(spark, monkeypatch, limits):
+    """Few links for a cluster of 300 with 44,850 pairs, and none of the others lost, at the greatest distance too, however fingerprints are cut into blocks."""
+    for name, value in limits.items():
+        monkeypatch.setattr(anchors, name, value)
+    rng = np.random.default_rng(6)
+    bits = [rng.integers(0, 2, 115) for _ in range(80)]
+    numbers = {}
+    for base, flips in [(0, 6)] * 300 + [(b, 19) for b in range(1, 80) for _ in range(2)]:
+        other = bits[base].copy()
+        other[rng.choice(115, rng.integers(flips // 2, flips // 2 + 2) if base == 0 else flips, replace=False)] ^= 1
+        for x in (other, bits[base]):
+            numbers.setdefault(int("".join(map(str, x)), 2), 7 * len(numbers) + 3)
+    rows = [(node, (n & (1 << 64) - 1) - ((n >> 63 & 1) << 64), n >> 64) for n, node in numbers.items()]
+    want = brute(rows, anchors.MAX_DISTANCE)
+    links = [tuple(r) for r in anchors.linked(spark.createDataFrame(rows, "node long, f1 long, f2 long")).collect()]
+    nodes = [r[0] for r in rows]
+    assert components(nodes, links) == components(nodes, want)
+    assert all(a != b for a, b in links) and len(want) > 40_000 > 10 * len(links)
+
+
 def test_groups_nulls_and_repeats(docs):
     found = anchors.near_duplicates(docs).collect()
     assert len(found) == docs.count()
