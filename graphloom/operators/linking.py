@@ -72,9 +72,25 @@ def equivalents(triples: DataFrame, within: str = "www.wikidata.org", most: int
     return same.withColumn("r", F.row_number().over(Window.partitionBy("iri").orderBy("same"))).where(F.col("r") <= most).drop("r")
 
 
+def with_iris(found: DataFrame, dimension: DataFrame, source: str) -> DataFrame:
+    """Relations under the IRIs of resolve_relations(), without another pass over them."""
+    named = found.join(dimension, "rel", "left").withColumn("rel", S.relation_iri(F.coalesce("equivalent", "broader"), F.col("rel"), source))
+    return named.select(*found.columns)
+
+
 def inferred_edges(triples: DataFrame, toks: DataFrame, min_prob: float = MIN_RELATION) -> DataFrame:
     """Edges of kind inf from (graph_id, sent_id, para_id, head, rel, tail, prob): texts are matched to the last token of that text in the sentence; both must be."""
+    return merged_relations(matched(triples, toks, min_prob))
+
+
+def matched(triples: DataFrame, toks: DataFrame, min_prob: float = MIN_RELATION) -> DataFrame:
+    """(graph_id, src, dst, rel, prob) of relations by the keys of tokens, as inferred_edges() merges them."""
     place = ["graph_id", "para_id", "sent_id"]
     last = toks.groupBy(*place, "text").agg(F.max_by("key", "tok_i").alias("key"))
     met = triples.where(F.col("prob") >= min_prob).join(last.toDF(*place, "head", "src"), [*place, "head"]).join(last.toDF(*place, "tail", "dst"), [*place, "tail"])
-    return met.where("src <> dst").groupBy("graph_id", "src", "dst", "rel").agg(F.count("*").alias("count"), F.max("prob").alias("prob")).withColumn("kind", F.lit("inf")).select("graph_id", "src", "dst", "rel", "kind", "prob", "count")
+    return met.where("src <> dst").select("graph_id", "src", "dst", "rel", "prob")
+
+
+def merged_relations(found: DataFrame) -> DataFrame:
+    """Edges of kind inf, one for each relation of two nodes."""
+    return found.groupBy("graph_id", "src", "dst", "rel").agg(F.count("*").alias("count"), F.max("prob").alias("prob")).withColumn("kind", F.lit("inf")).select("graph_id", "src", "dst", "rel", "kind", "prob", "count")

@@ -82,8 +82,13 @@ def styled_edges(edges: DataFrame) -> DataFrame:
     """(graph_id, src, dst, title, arrows, color, width) for drawing, one for all edges between two nodes: the last that the graph got, by kind (classes, dependencies, chunks, then what was linked or inferred) and relation."""
     late = F.when(F.col("kind") == "iri", 0).when(F.col("kind") == "dep", 1).when(F.col("kind") == "chu", 2).when(F.col("kind") == "syn", 3).otherwise(4)
     last = edges.groupBy("graph_id", "src", "dst").agg(F.max(F.struct(late.alias("late"), "rel", "kind")).alias("e"))
-    styles = edges.sparkSession.createDataFrame(EDGE_STYLES, "kind string, arrows string, color string, width int")
-    return last.select("graph_id", "src", "dst", F.col("e.rel").alias("title"), "e.kind").join(F.broadcast(styles), "kind", "left").select("graph_id", "src", "dst", "title", "arrows", "color", "width")
+    return styled_last(last.select("graph_id", "src", "dst", "e.rel", "e.kind"))
+
+
+def styled_last(last: DataFrame) -> DataFrame:
+    """styled_edges() of edges of which there is one for any two nodes."""
+    styles = last.sparkSession.createDataFrame(EDGE_STYLES, "kind string, arrows string, color string, width int")
+    return last.select("graph_id", "src", "dst", F.col("rel").alias("title"), "kind").join(F.broadcast(styles), "kind", "left").select("graph_id", "src", "dst", "title", "arrows", "color", "width")
 
 
 def _components(links: dict[int, set[int]], n: int) -> list[list[int]]:
