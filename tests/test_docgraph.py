@@ -3,10 +3,12 @@
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
-from graphloom.operators import docgraph, textgraph
+from graphloom.operators import docgraph, rank, textgraph
 from graphloom.plans import queries as plans
+from graphloom.sources import nodelink
 
 TEXTS = [
     "The mayor visited Werner Herzog and Werner Herzog wanted Berlin.\nA small house in Berlin ended.",
@@ -25,8 +27,8 @@ TEXTS = [
     "Walked Ab Cd wanted Ef Gh meeting Ij. \x0bMarks \x00 here",
 ]
 #: Queries that took joins of tokens with tokens; where further tables are joined, they are small.
-ONE_PASS = "text_tokens lemma_keys token_offsets unmerged_words chunk_offsets entity_keys node_upsert edge_upsert class_nodes class_links chunk_nodes chunk_edges out_degree export_nodes export_edges node_styles edge_styles edge_keys node_labels node_table property_graph_nodes property_graph_edges wordcloud verb_relations".split()
-WITH_JOINS = "rdf_triples inferred_edges inferred_table entity_links unlinked_entities secondary_links".split()
+ONE_PASS = "text_tokens lemma_keys token_offsets unmerged_words chunk_offsets entity_keys node_upsert edge_upsert class_nodes class_links chunk_nodes chunk_edges out_degree export_nodes export_edges node_styles edge_styles edge_keys node_labels node_table property_graph_nodes property_graph_edges wordcloud verb_relations near_entities nodelink_nodes nodelink_round_trip".split()
+WITH_JOINS = "rdf_triples inferred_edges inferred_table entity_links unlinked_entities secondary_links nodelink_class_links".split()
 
 
 @pytest.fixture(scope="module")
@@ -74,6 +76,45 @@ def test_repeated_ids(spark):
         assert Counter(map(str, a.select(*columns).collect())) == Counter(map(str, b.select(*columns).collect()))
 
 
+def test_ranks(spark, odd):
+    docs = spark.read.parquet(f"{odd[0]}/documents.parquet")
+    toks = textgraph.tokens(docs).cache()
+    for name, found in (("pagerank", rank.pagerank(textgraph.token_nodes(toks), textgraph.dep_edges(toks))), ("ranked_phrases", rank.phrases(*textgraph.whole_graph(toks)))):
+        got = plans.QUERIES[name](spark, odd[0])
+        value = "pagerank" if name == "pagerank" else "weight"
+        rows = lambda d: {(r.graph_id, r.key): r[value] for r in d.collect()}  # noqa: E731, B023
+        assert rows(got) == pytest.approx(rows(found), abs=1e-8)
+        assert "Exchange" not in str(got._jdf.queryExecution().executedPlan()).replace("Exchange hashpartitioning(doc_id", "")
+
+
+def test_ranks_of_several_graphs():
+    """Each graph's ranks are those that it has alone."""
+    rng = np.random.default_rng(1)
+    sizes, parts, src, dst, weight, base = (3, 40, 1, 17), [], [], [], [], 0
+    for n in sizes:
+        a, b, w = rng.integers(0, n, 2 * n), rng.integers(0, n, 2 * n), rng.integers(1, 9, 2 * n).astype(float)
+        parts.append(rank.power_iteration(n, a, b, w))
+        src, dst, weight, base = [*src, *(a + base)], [*dst, *(b + base)], [*weight, *w], base + n
+    got = rank.power_iterations(np.repeat(range(4), sizes), 4, np.array(src), np.array(dst), np.array(weight))
+    assert got == pytest.approx(np.concatenate(parts), abs=1e-12)
+
+
+def test_links_of_a_long_graph(spark):
+    """Links are read without a copy of all nodes for each: a graph of 60,000 links would otherwise take tens of GB."""
+    text = " ".join(f"w{i} of W{i % 977} the" for i in range(20_000))
+    dumped = docgraph.nodelink(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    nodes, edges = nodelink.load(dumped)
+    assert nodes.count() > 60_000 and edges.where("src is not null and dst is not null").count() > 60_000
+    assert "Generate" not in str(edges._jdf.queryExecution().executedPlan())
+
+
+def test_json_that_is_none(spark):
+    bad = spark.createDataFrame([(1, "{"), (2, None), (3, "{}"), (4, '{"nodes":[{"lemma":"a"}],\n"links":[{"source":0,"target":5,"title":"t"}]}'), (5, "[1]")], "graph_id long, json string")
+    nodes, edges = nodelink.load(bad)
+    assert [(r.graph_id, r.key) for r in nodes.collect()] == [(4, "a")]
+    assert [(r.graph_id, r.src, r.dst, r.rel) for r in edges.collect()] == [(4, "a", None, "t")]
+
+
 def test_blocks_of_graphs(spark, monkeypatch):
     """Rows of one id stay together whatever the size of a block."""
     docs = spark.createDataFrame([(i % 3, t) for i, t in enumerate(TEXTS * 3)], "doc_id long, text string")
