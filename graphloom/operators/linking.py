@@ -15,12 +15,13 @@ MIN_RELATION = 0.9
 def link_entities(nodes: DataFrame, entities: DataFrame, min_alias: float = MIN_ALIAS) -> DataFrame:
     """(graph_id, key, iri, prob, name): the best entity (iri, label, aliases) for the text of each entity node.
 
-    Distinct lower-cased texts are looked up once, by equal label or alias, then scored; prob must be over min_alias.
+    Distinct lower-cased texts are looked up once, by equal label or alias, then scored; prob must be over min_alias. Of equally good
+    entities, those labelled so come before those with such an alias, then the first IRI.
     """
     names = entities.select("*", F.explode(F.array_distinct(F.transform(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: F.lower(x)))).alias("query"))
     asked = nodes.where("kind = 'ent' and text is not null").select(F.lower("text").alias("query")).distinct()
     hits = asked.join(names, "query").withColumn("hit", S.match_aliases("query", "label", "aliases"))
-    best = hits.where(F.col("hit.prob") > min_alias).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("hit.prob"), "iri"))).where("r = 1")
+    best = hits.where(F.col("hit.prob") > min_alias).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("hit.prob"), F.lower("label") != F.col("query"), "iri"))).where("r = 1")
     found = best.select("query", "iri", F.col("hit.prob").alias("prob"), F.col("hit.name").alias("name"))
     return nodes.where("kind = 'ent'").withColumn("query", F.lower("text")).join(found, "query").select("graph_id", "key", "iri", "prob", "name")
 

@@ -24,6 +24,7 @@ TEXTS = [
     "Ab  Cd Werner. Werner Herzog; WERNER HERZOG wanted Berlin and Paris",
     "x" * 50 + " " + "Yy Zz " * 20,
     "1 2 3 Ⅷ ½ a½ é combining Ab́ Cd",
+    "Then Ti Ti ended, and It It and TI TI.",
     "Walked Ab Cd wanted Ef Gh meeting Ij. \x0bMarks \x00 here",
 ]
 #: Queries that took joins of tokens with tokens; where further tables are joined, they are small.
