@@ -24,7 +24,18 @@ def seeds(triples: DataFrame) -> DataFrame:
 
 def node_trace(triples: DataFrame) -> DataFrame:
     """(node, dir, n, rels): degree and relations of every node by direction."""
-    return seeds(triples).groupBy("node", "dir").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("rel")), ",").alias("rels"))
+    return _counts(triples).groupBy("node", "dir").agg(F.sum("n").alias("n"), F.array_join(F.sort_array(F.collect_list("rel")), ",").alias("rels"))
+
+
+def _counts(triples: DataFrame) -> DataFrame:
+    """(node, dir, rel, n): seeds counted."""
+    return seeds(triples).groupBy("node", "dir", "rel").agg(F.count("*").alias("n"))
+
+
+def _met(triples: DataFrame) -> DataFrame:
+    """(node, a, b): all pairs, in order, of the counts (dir, rel, n) of a node; as many as its relations squared, and no join."""
+    listed = _counts(triples).groupBy("node").agg(F.collect_list(F.struct("dir", "rel", "n")).alias("c"))
+    return listed.select("node", "c", F.explode("c").alias("a")).select("node", "a", F.explode("c").alias("b"))
 
 
 def relation_order(triples: DataFrame, order: str) -> DataFrame:
@@ -36,22 +47,22 @@ def relation_order(triples: DataFrame, order: str) -> DataFrame:
 
 def arcs(triples: DataFrame) -> DataFrame:
     """(node, dir_a, rel_a, dir_b, rel_b, n): pairs of seeds at each node, counted by direction and relation, a before b."""
-    c = seeds(triples).groupBy("node", "dir", "rel").agg(F.count("*").alias("n"))
-    a = c.select("node", F.col("dir").alias("dir_a"), F.col("rel").alias("rel_a"), F.col("n").alias("na"))
-    b = c.select("node", F.col("dir").alias("dir_b"), F.col("rel").alias("rel_b"), F.col("n").alias("nb"))
+    met = _met(triples).select("node", F.col("a.dir").alias("dir_a"), F.col("a.rel").alias("rel_a"), F.col("a.n").alias("na"), F.col("b.dir").alias("dir_b"), F.col("b.rel").alias("rel_b"), F.col("b.n").alias("nb"))
     same = (F.col("dir_a") == F.col("dir_b")) & (F.col("rel_a") == F.col("rel_b"))
-    pairs = a.join(b, "node").where(same | (F.struct("dir_a", "rel_a") < F.struct("dir_b", "rel_b")))
+    pairs = met.where(same | (F.struct("dir_a", "rel_a") < F.struct("dir_b", "rel_b")))
     n = F.when(same, (F.col("na") * (F.col("na") - 1) / 2).cast("long")).otherwise(F.col("na") * F.col("nb"))
     return pairs.select("node", "dir_a", "rel_a", "dir_b", "rel_b", n.alias("n")).where("n > 0")
 
 
 def pair_counts(triples: DataFrame) -> DataFrame:
     """(dir, rel_a, rel_b, total, nodes, tally): how often rel_a in direction dir meets rel_b, over all nodes."""
-    c = seeds(triples).groupBy("node", "dir", "rel").agg(F.count("*").alias("n"))
-    a = c.groupBy("node", F.col("rel").alias("rel_b")).agg(F.sum("n").alias("m"))
-    cnt = F.col("n") * F.col("m") - F.when(F.col("rel") == F.col("rel_b"), F.col("n")).otherwise(0)
-    met = c.join(a, "node").withColumn("cnt", cnt).where("cnt > 0")
-    counted = met.groupBy("dir", F.col("rel").alias("rel_a"), "rel_b").agg(F.sum("cnt").alias("total"), F.count("*").alias("nodes"))
+    c = F.struct("dir", "rel", "n")
+    listed = _counts(triples).groupBy("node").agg(F.collect_list(c).alias("c"))
+    both = listed.select("c", F.explode("c").alias("a")).select("a.dir", F.col("a.rel").alias("rel_a"), "a.n", F.explode(F.array_distinct(F.transform("c", lambda x: x["rel"]))).alias("rel_b"), "c")
+    m = F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + F.when(x["rel"] == F.col("rel_b"), x["n"]).otherwise(0))
+    cnt = F.col("n") * m - F.when(F.col("rel_a") == F.col("rel_b"), F.col("n")).otherwise(0)
+    met = both.select("dir", "rel_a", "rel_b", cnt.alias("cnt")).where("cnt > 0")
+    counted = met.groupBy("dir", "rel_a", "rel_b").agg(F.sum("cnt").alias("total"), F.count("*").alias("nodes"))
     return counted.withColumn("tally", F.col("total") + F.col("nodes"))
 
 
@@ -76,7 +87,7 @@ def published(scores: DataFrame, places: int = 2) -> DataFrame:
 
 def source_edges(triples: DataFrame) -> DataFrame:
     """(node, dir, edges): the (src, rel, dst) of every node by direction, in order."""
-    return seeds(triples).groupBy("node", "dir").agg(F.array_sort(F.collect_list(F.struct("src", "rel", "dst"))).alias("edges"))
+    return seeds(triples).groupBy("node", "dir").agg(F.sort_array(F.collect_list(F.struct("src", "rel", "dst"))).alias("edges"))
 
 
 def edge_styles(scores: DataFrame) -> DataFrame:
